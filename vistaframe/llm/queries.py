@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vistaframe.llm import chat, licenses, mixing, packing, quality, sharding
+from vistaframe.llm import chat, licenses, mixing, packing, perplexity, quality, sharding
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op3_licenses": licenses.op3_licenses,
     "op6_packing": packing.op6_packing,
+    "op7_perplexity": perplexity.op7_perplexity,
     "op8_chat": chat.op8_chat,
     "op9_sharding": sharding.op9_sharding,
     "op10_mixing": mixing.op10_mixing,

@@ -24,6 +24,8 @@ CHUNK_BYTES = 1 << 20
 
 _is_word = np.zeros(256, bool)
 _is_word[48:58] = _is_word[65:91] = _is_word[97:123] = _is_word[128:] = True
+_no_space = np.ones(256, bool)
+_no_space[[9, 10, 11, 12, 13, 32]] = False
 _fold = np.arange(256, dtype=np.uint8)
 _fold[65:91] += 32
 _tables: dict[str, np.ndarray] = {}
@@ -65,11 +67,11 @@ def hash_str(s: str) -> int:
 
 
 class Words:
-    """Words of a chunk: hash, row, and byte span within ``data`` (row offsets in ``off``)."""
+    """Words of a chunk: hash, row, and byte span within ``data`` (row offsets in ``off``). Raw words are what white space parts, unfolded."""
 
     __slots__ = ("data", "end", "hash", "off", "row", "rows", "start")
 
-    def __init__(self, column: pa.Array) -> None:
+    def __init__(self, column: pa.Array, raw: bool = False) -> None:
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -83,11 +85,13 @@ class Words:
             self.start = self.end = np.empty(0, np.int64)
             self.hash, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
             return
-        low = _fold[data]
-        latin = np.flatnonzero(data[:-1] == 0xC3) + 1
-        latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
-        low[latin] += 32
-        inside = _is_word[data]
+        low = data
+        if not raw:
+            low = _fold[data]
+            latin = np.flatnonzero(data[:-1] == 0xC3) + 1
+            latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
+            low[latin] += 32
+        inside = (_no_space if raw else _is_word)[data]
         # a boundary between rows always parts words: edges lists the changes of inside, with such boundaries added
         edge = np.empty(n + 1, bool)
         edge[1:-1] = inside[1:] != inside[:-1]
