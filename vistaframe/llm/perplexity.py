@@ -10,7 +10,6 @@ occurrence of an n-gram is ever shuffled. The second reading of the corpus score
 from __future__ import annotations
 
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.shared import cut, fresh_path, maybe_broadcast
-from vistaframe.llm.text import Words, chunks, hash_str, mix
+from vistaframe.llm.shared import bucket_bits, cut, fresh_path, maybe_broadcast, steady, steady_splits
+from vistaframe.llm.text import Words, chunks, hash_str, mix, pack, unpack
 
 WIDTH = 48
 _MASK = np.uint64((1 << WIDTH) - 1)
@@ -30,20 +29,6 @@ PIECE_BYTES = 32 << 20
 SLOTS = 2048
 
 
-def pack(x: np.ndarray, width: int) -> bytes:
-    """An array of unsigned numbers below 256**width, byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"\0" * 8
-
-
-def unpack(b: bytes, width: int) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        out[:, :width] = np.frombuffer(pa.decompress(b[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
-    return out.view("<u8").ravel()
-
-
 class Piece:
     """The words of a stretch of documents, and for each language its different words and bigrams in order."""
 
@@ -217,30 +202,6 @@ def _score(path: str, model, limit: int):
     return run
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    """Whether each reading gives the same rows to the same tasks: files, and at most columns and rows left out."""
-    todo = [df._jdf.queryExecution().optimizedPlan()]
-    while todo:
-        node = todo.pop()
-        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation", "Union"):
-            return False
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.size())]
-    return True
-
-
-@contextmanager
-def _steady_splits(spark):
-    """Scan tasks that don't depend on how many executors there are just now."""
-    name = "spark.sql.files.minPartitionNum"
-    old = spark.conf.get(name, None)
-    spark.conf.set(name, "1")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, old) if old else spark.conf.unset(name)
-
-
 def log_perplexities(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(doc_id, lang, n_words, log_perplexity) for every row under the model of its language.
 
@@ -253,12 +214,9 @@ def log_perplexities(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFra
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    with _steady_splits(spark):
-        if not _plain_scan(base):
-            copy = fresh_path(spark, "documents")
-            base.write.parquet(copy)
-            base = spark.read.parquet(copy)
-        bits = max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+    with steady_splits(spark):
+        base = steady(base)
+        bits = bucket_bits(spark)
         asked = base.mapInArrow(_count(bits, piece_bytes), _ASK)
         said = cut(asked.groupBy("lang", "bucket").applyInArrow(_merge(bits), _SAID))
         rows = said.where("kind = 'stats'").groupBy("lang").agg(*[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(5)]).collect()

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vistaframe.llm.shared import cut, running_start
 
@@ -43,7 +44,7 @@ def hilbert_index(axes: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _hilbert(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
     return pd.Series(hilbert_index([a.to_numpy(), b.to_numpy(), c.to_numpy()], BITS))
 

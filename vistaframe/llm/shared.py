@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -71,3 +72,41 @@ def running_start(df: DataFrame, group: list[str], sub: str, order: list[str], v
         cond = cond & c
     keep = [inside[c] for c in df.columns]
     return inside.join(offsets, cond).select(*keep, (F.col("_r") + F.col("_o")).alias(out))
+
+
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether each reading gives the same rows to the same tasks: files, and at most columns and rows left out."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() not in ("Project", "Filter", "LogicalRelation", "Union"):
+            return False
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    return True
+
+
+@contextmanager
+def steady_splits(spark):
+    """Scan tasks that don't depend on how many executors there are just now."""
+    name = "spark.sql.files.minPartitionNum"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def steady(df: DataFrame) -> DataFrame:
+    """The rows as a plain scan of files, so that every reading, a retried task's too, gives the same rows in the same order."""
+    if _plain_scan(df):
+        return df
+    path = fresh_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def bucket_bits(spark: SparkSession) -> int:
+    """Binary digits of the number of buckets: about one for each shuffle partition, so that they grow with the input."""
+    return max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))

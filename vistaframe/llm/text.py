@@ -77,8 +77,8 @@ class Words:
             column = column.combine_chunks()
         self.rows = n_rows = len(column)
         off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n_rows + 1]
-        raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None and n_rows else np.empty(0, np.uint8)
+        held = column.buffers()[2]
+        data = np.frombuffer(held, np.uint8)[off[0] : off[-1]] if held is not None and n_rows else np.empty(0, np.uint8)
         self.off = off = off - off[0] if n_rows else np.zeros(1, np.int64)
         self.data, n = data, len(data)
         if not n:
@@ -150,3 +150,17 @@ def row_ngrams(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     g = ngram_hash(h, n)
     at = np.flatnonzero(row[: len(g)] == row[n - 1 :]) if len(g) else np.empty(0, np.int64)
     return g[at], row[at], at
+
+
+def pack(x: np.ndarray, width: int) -> bytes:
+    """An array of unsigned numbers below 256**width, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"\0" * 8
+
+
+def unpack(b: bytes, width: int) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(b[8:], n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
