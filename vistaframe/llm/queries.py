@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vistaframe.llm import chat, licenses, mixing, packing, perplexity, quality, sharding
+from vistaframe.llm import chat, jaccard, licenses, mixing, packing, perplexity, quality, sharding
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op3_licenses": licenses.op3_licenses,
     "op6_packing": packing.op6_packing,
     "op7_perplexity": perplexity.op7_perplexity,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_jaccard": jaccard.sql(),
     "op6_packing": packing.sql(),
     "op8_chat": chat.SQL,
     "op9_sharding": sharding.sql(),
