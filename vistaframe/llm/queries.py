@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vistaframe.llm import chat, jaccard, licenses, mixing, packing, perplexity, quality, sharding
+from vistaframe.llm import chat, jaccard, licenses, mixing, neighbours, packing, perplexity, quality, sharding
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_licenses": licenses.op3_licenses,
+    "op4_neighbours": neighbours.op4_neighbours,
     "op6_packing": packing.op6_packing,
     "op7_perplexity": perplexity.op7_perplexity,
     "op8_chat": chat.op8_chat,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_jaccard": jaccard.sql(),
+    "op4_neighbours": neighbours.sql(),
     "op6_packing": packing.sql(),
     "op8_chat": chat.SQL,
     "op9_sharding": sharding.sql(),
