@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vistaframe.llm import chat, jaccard, licenses, mixing, neighbours, packing, perplexity, quality, sharding
+from vistaframe.llm import chat, jaccard, licenses, mixing, neighbours, packing, perplexity, quality, repeats, sharding
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_licenses": licenses.op3_licenses,
     "op4_neighbours": neighbours.op4_neighbours,
+    "op5_repeats": repeats.op5_repeats,
     "op6_packing": packing.op6_packing,
     "op7_perplexity": perplexity.op7_perplexity,
     "op8_chat": chat.op8_chat,
@@ -19,6 +20,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_jaccard": jaccard.sql(),
     "op4_neighbours": neighbours.sql(),
+    "op5_repeats": repeats.sql(),
     "op6_packing": packing.sql(),
     "op8_chat": chat.SQL,
     "op9_sharding": sharding.sql(),
