@@ -114,7 +114,8 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table({"bucket": table.column("bucket"), "piece": pa.array([r["piece"] for r in rows], pa.int64()), "n": pa.array([len(x) for x in keys], pa.int64()), "flags": pa.array(flags, pa.binary())})
 
 
-_AROUND = "bucket int, piece long, ids array<long>, rows binary, words binary, starts binary, sides binary, lengths binary, symbols binary"
+SUB_BITS = 4
+_AROUND = "bucket int, piece long, ids array<long>, rows binary, words binary, starts binary, subs binary, lengths binary, symbols binary"
 
 
 def _send(path: str, bits: int, k: int, min_words: int, limit: int):
@@ -149,16 +150,17 @@ def _send(path: str, bits: int, k: int, min_words: int, limit: int):
                 end = np.minimum(at - late + min_words, first_word[row + 1])
                 length = end - begin
                 ok = length >= min_words
-                row, begin, length, side = row[ok], begin[ok], length[ok], side[ok]
+                row, begin, length = row[ok], begin[ok], length[ok]
+                sub = piece.key[hit[ok]] >> np.uint64(WIDTH - bits - SUB_BITS) & np.uint64((1 << SUB_BITS) - 1)
                 if not len(row):
                     continue
                 kept, place = np.unique(row, return_inverse=True)
                 words = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(length.sum())
                 blob = lambda x, w: pack(x.astype(np.uint64), w)
-                out.append((int(b), number, [piece.ids[i] for i in kept], blob(kept, 3), blob(place, 3), blob(begin - first_word[row], 4), blob(side, 1), blob(length, 2), blob(symbol[words], 4)))
+                out.append((int(b), number, [piece.ids[i] for i in kept], blob(kept, 3), blob(place, 3), blob(begin - first_word[row], 4), blob(sub, 1), blob(length, 2), blob(symbol[words], 4)))
             if out:
                 types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 6)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "piece", "ids", "rows", "words", "starts", "sides", "lengths", "symbols"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "piece", "ids", "rows", "words", "starts", "subs", "lengths", "symbols"])
 
     return run
 
@@ -218,6 +220,59 @@ def equal_starts(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]
     return order, np.cumsum(known[:n]) - 1
 
 
+def _words_of(first: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return symbol[np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())]
+
+
+def _windows(doc: np.ndarray, start: np.ndarray, length: np.ndarray, first: np.ndarray, symbol: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each context, bits of the windows in it that are repeated, and of those with an earlier occurrence."""
+    every = (np.int64(1) << (length - min_words + 1)) - 1
+    words = _words_of(first, length, symbol).astype(np.uint64)
+    ends = np.cumsum(length)
+    place = np.arange(len(words)) - np.repeat(ends - length, length)
+    tag = np.add.reduceat(mix(words + (place.astype(np.uint64) << np.uint64(34))), ends - length)
+    # equal contexts are judged once, by the earliest; all windows of the others are repeated and later
+    order = np.lexsort((start, doc, tag))
+    fresh = np.append(True, tag[order][1:] != tag[order][:-1])
+    once = fresh | np.append(True, (doc[order][1:] != doc[order][:-1]) | (start[order][1:] != start[order][:-1]))
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(fresh) - 1
+    is_first = np.empty(len(order), bool)
+    nth = np.cumsum(once) - 1
+    is_first[order] = nth == nth[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    several = np.bincount(which[order], once) > 1
+    head = order[fresh]
+    d0, s0, n = doc[head], start[head], length[head]
+    m = len(n)
+    # a mark of its own ends each context
+    text = np.empty(int(n.sum()) + m, np.int64)
+    ends = np.cumsum(n + 1) - 1
+    body = np.ones(len(text), bool)
+    body[ends] = False
+    text[ends] = -1 - np.arange(m)
+    text[body] = _words_of(first[head], n, symbol)
+    suffix, group = equal_starts(text, min_words)
+    context = np.repeat(np.arange(m), n + 1)[suffix]
+    offset = suffix - (ends - n)[context]
+    window = offset + min_words <= n[context]
+    group, offset, context = group[window], offset[window], context[window]
+    d, p = d0[context], s0[context] + offset
+    order = np.lexsort((p, d, group))
+    g, d, p, c, o = group[order], d[order], p[order], context[order], offset[order]
+    new_group = np.append(True, g[1:] != g[:-1])
+    new_one = new_group | np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
+    of = np.cumsum(new_group) - 1
+    hit = (np.bincount(of, new_one) > 1)[of]
+    nth = np.cumsum(new_one) - 1
+    later = hit & (nth > nth[np.flatnonzero(new_group)][of])
+    bit = np.int64(1) << o
+    repeated_bits, later_bits = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    np.bitwise_or.at(repeated_bits, c[hit], bit[hit])
+    np.bitwise_or.at(later_bits, c[later], bit[later])
+    repeated = np.where(several[which], every, repeated_bits[which])
+    return repeated, np.where(is_first, later_bits[which], every)
+
+
 def _judge(min_words: int):
     """In a bucket: of every window around the anchors, whether it is repeated, and whether an occurrence comes earlier."""
 
@@ -239,37 +294,15 @@ def _judge(min_words: int):
         of = np.concatenate([get(r, "words", 3) + f for r, f in zip(rows, base)])
         start = np.concatenate([get(r, "starts", 4) for r in rows])
         length = np.concatenate([get(r, "lengths", 2) for r in rows])
-        symbol = np.concatenate([unpack(r["symbols"], 4) for r in rows]).astype(np.int64)
-        m, total = len(length), int(length.sum())
-        # a mark of its own ends each context
-        text = np.empty(total + m, np.int64)
-        ends = np.cumsum(length + 1) - 1
-        body = np.ones(total + m, bool)
-        body[ends] = False
-        text[ends] = -1 - np.arange(m)
-        text[body] = symbol
-        suffix, group = equal_starts(text, min_words)
-        context = np.repeat(np.arange(m), length + 1)
-        begin = ends - length
-        offset = suffix - begin[context[suffix]]
-        window = offset + min_words <= length[context[suffix]]
-        suffix, group, offset = suffix[window], group[window], offset[window]
-        context = context[suffix]
-        d, p = doc[context], start[context] + offset
-        order = np.lexsort((p, d, group))
-        g, d, p, c, o = group[order], d[order], p[order], context[order], offset[order]
-        new_group = np.append(True, g[1:] != g[:-1])
-        new_one = new_group | np.append(True, (d[1:] != d[:-1]) | (p[1:] != p[:-1]))
-        which = np.cumsum(new_group) - 1
-        several = np.bincount(which, new_one) > 1
-        nth = np.cumsum(new_one) - 1
-        later = several[which] & (nth > nth[np.flatnonzero(new_group)][which])
-        hit = several[which]
-        bit = np.int64(1) << o
-        repeated_bits = np.zeros(m, np.int64)
-        later_bits = np.zeros(m, np.int64)
-        np.bitwise_or.at(repeated_bits, c[hit], bit[hit])
-        np.bitwise_or.at(later_bits, c[later], bit[later])
+        sub = np.concatenate([get(r, "subs", 1) for r in rows])
+        symbol = np.concatenate([unpack(r["symbols"], 4).astype(np.uint32) for r in rows])
+        rows.clear()
+        first_symbol = np.cumsum(length) - length
+        repeated_bits, later_bits = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        # contexts of one key have one sub-bucket, so each can be judged by itself
+        for k in np.unique(sub):
+            mine = np.flatnonzero(sub == k)
+            repeated_bits[mine], later_bits[mine] = _windows(doc[mine], start[mine], length[mine], first_symbol[mine], symbol, min_words)
         out = []
         row_of, piece_of = doc_row[of], piece[of]
         keep = np.flatnonzero(repeated_bits)
