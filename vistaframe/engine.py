@@ -6,7 +6,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +19,13 @@ from vistaframe.plans import planner, slicing
 from vistaframe.plans.lower import Scope, combine, conclude, condition, lower, lower_partial
 from vistaframe.plans.parser import parse
 from vistaframe.plans.validate import check_filter, validate
-from vistaframe.registry import Info, Registry, Stats, measure
+from vistaframe.registry import Info, Registry, Stats, measure, utc_now
+from vistaframe.storage import shared_folder
 from vistaframe.types import Schema
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str | None = None, allow_lookup_scan: bool = False, text_mode: str = "substring", use_views: bool = True, clock: Callable[[], datetime] = datetime.utcnow) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, allow_lookup_scan: bool = False, text_mode: str = "substring", use_views: bool = True, clock: Callable[[], datetime] = utc_now) -> None:
         self.spark, self.root, self.allow_lookup_scan, self.text_mode, self.use_views, self.clock = spark, root, allow_lookup_scan, text_mode, use_views, clock
         self.registry = Registry(spark, f"{root}/registry" if root else None, clock)
 
@@ -155,7 +156,7 @@ class Engine:
         Each has ``value`` (the rows so far, or with returnDelta those of the slice), ``timeInterval`` and
         ``progress``. States, not answers, are merged, so that the last one is the answer in full; rows without a
         time belong to none. A single ungrouped query with a limit that is ordered by time from the newest on stops
-        when it has enough rows. Merged states are kept in the shared folder of spark.checkpoint.dir, if set.
+        when it has enough rows. Merged states are kept in the shared folder.
         """
         r = self._checked(request)
         pace = r.option.slice_millis
@@ -188,12 +189,8 @@ class Engine:
                 return
 
     def _kept(self, state: DataFrame) -> DataFrame:
-        """The state with its lineage cut where a shared folder is named, so that slices don't pile up in one plan."""
-        folder = self.spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            return state.persist()
-        if self.spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            self.spark.sparkContext.setCheckpointDir(folder)
+        """The state with its lineage cut, so that slices don't pile up in one plan."""
+        shared_folder(self.spark)
         return state.checkpoint()
 
     def _enough(self, queries: tuple[Query, ...], latest: list[list]) -> bool:
@@ -288,7 +285,7 @@ class Cache:
         self.held: dict[str, tuple[float, object]] = {}
 
     def _key(self, j: dict) -> str:
-        now = datetime.utcfromtimestamp(self.clock())
+        now = datetime.fromtimestamp(self.clock(), timezone.utc).replace(tzinfo=None)
 
         def plain(x):
             if isinstance(x, dict):

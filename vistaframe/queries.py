@@ -373,19 +373,13 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_tumbling", "select to_timestamp(floor(epoch(ts) / 21600) * 21600)::timestamp as bin, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Events replayed as a stream; the aggregates of all bins land in a table of the shared folder."""
-    import atexit
-    import shutil
-    import tempfile
+    import uuid
 
+    from vistaframe.storage import shared_folder
     from vistaframe.streaming import ingest
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="vistaframe-stream-")
-        atexit.register(shutil.rmtree, folder, True)
-    import uuid
-
+    folder = shared_folder(spark)
     base = f"{folder}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")
     feed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf) if not _is_dir(spark, f"{sf}/events.parquet") else ingest.file_feed(spark, f"{sf}/events.parquet", source.schema)

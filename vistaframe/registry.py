@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from vistaframe.types import Schema
 LOOKUP_ROWS, LOOKUP_START, LOOKUP_END = 1000, datetime(1970, 1, 1), datetime(2048, 1, 1)
 
 
+def utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
 @dataclass(frozen=True)
 class Stats:
     created: datetime
@@ -52,7 +56,7 @@ def measure(df: DataFrame, schema: Schema) -> tuple[datetime | None, datetime |
 class Registry:
     """With ``root`` the registry is a folder of JSON files, one for each entry, that a later session can load."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, clock: Callable[[], datetime] = datetime.utcnow) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, clock: Callable[[], datetime] = utc_now) -> None:
         self.spark, self.root, self.clock = spark, root, clock
         self.infos: dict[str, Info] = {}
         self.tables: dict[str, DataFrame] = {}
