@@ -14,7 +14,6 @@ are built from them. That leaves out no pair.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.shared import bucket_bits, cut, steady, steady_splits
+from vistaframe.llm.shared import bucket_bits, cut, maybe_broadcast, steady, steady_splits
 from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, row_ngrams, unpack
 
 WIDTH = 48
@@ -130,12 +129,12 @@ def _fragment_counts(hot: int):
     return run
 
 
-_LEFT = "bucket int, ids array<long>, sigs array<long>, sizes binary, n_hot binary, docs binary, grams binary, hot binary"
-_LEFT_NAMES = ["bucket", "ids", "sigs", "sizes", "n_hot", "docs", "grams", "hot"]
-_LEFT_TYPES = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.binary()] * 5)
+_LEFT = "bucket int, ids array<long>, uids binary, sigs binary, sizes binary, n_hot binary, docs binary, grams binary, hot binary"
+_LEFT_NAMES = ["bucket", "ids", "uids", "sigs", "sizes", "n_hot", "docs", "grams", "hot"]
+_LEFT_TYPES = (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7)
 
 
-def _survivors(threshold: float):
+def _survivors(threshold: float, coarser: int):
     """In a piece: the documents that may have a partner, with their shared n-grams by fragment; bucket -1 lists them with their hot n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -153,20 +152,24 @@ def _survivors(threshold: float):
         live = (size > 0) & (shared >= threshold * size - 1e-6)
         kept = np.flatnonzero(live)
         place = np.cumsum(live) - 1
-        sig = unpack(head["b"], 8).view(np.int64)
         out = []
         if len(kept):
-            sigs, sizes, hots = sig[kept].tolist(), pack(size[kept].astype(np.uint64), 4), pack(n_hot[kept].astype(np.uint64), 4)
+            whole = [(head["piece"] << 24 | kept).astype(np.uint64), unpack(head["b"], 8)[kept], size[kept].astype(np.uint64), n_hot[kept].astype(np.uint64)]
+            whole = [pack(x, w) for x, w in zip(whole, (8, 8, 4, 4))]
+            parts: dict[int, list] = {}
             hot_docs, hot_grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for r, d, g, x in zip(rows, docs, grams, hot):
                 ok = live[d]
                 # hot n-grams make pairs only among documents that mostly consist of them
                 mine = ok & (~x | (n_hot[d] >= threshold * size[d] - 1e-6))
                 if mine.any():
-                    out.append((r["bucket"], None, sigs, sizes, hots, pack(place[d[mine]].astype(np.uint64), 3), pack(np.diff(g[mine], prepend=np.uint64(0)), 6), pack(x[mine].astype(np.uint64), 1)))
+                    parts.setdefault(r["bucket"] >> coarser, []).append((place[d[mine]].astype(np.uint64), g[mine], x[mine].astype(np.uint64)))
                 hot_docs.append(place[d[ok & x]])
                 hot_grams.append(g[ok & x])
-            out.append((-1, [head["ids"][i] for i in kept], sigs, sizes, hots, pack(np.concatenate(hot_docs).astype(np.uint64), 3), pack(np.concatenate(hot_grams), 6), None))
+            for b, found in parts.items():
+                d, g, x = (np.concatenate(c) for c in zip(*found))
+                out.append((b, None, *whole, pack(d, 3), pack(np.diff(g, prepend=np.uint64(0)), 6), pack(x, 1)))
+            out.append((-1, [head["ids"][i] for i in kept], *whole, pack(np.concatenate(hot_docs).astype(np.uint64), 3), pack(np.concatenate(hot_grams), 6), None))
         return pa.Table.from_batches([_rows(out, _LEFT_NAMES, _LEFT_TYPES)])
 
     return run
@@ -190,22 +193,31 @@ def _pairs_of(lists: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray
             yield rest[i], rest[j], np.full(len(i), n)
 
 
-_PAIRS = "a long, b long, n long, size_a long, size_b long, hot_a long, hot_b long"
-_PAIR_NAMES = ["a", "b", "n", "size_a", "size_b", "hot_a", "hot_b"]
+_PAIRS = "a long, b long, n long, size_a long, size_b long, more long"
+_PLANES = ((8, "a"), (8, "b"), (4, "n"), (4, "size_a"), (4, "size_b"), (4, "hot_a"), (4, "hot_b"))
 
 
-def _overlaps(threshold: float):
-    """In a fragment: the overlap there of every pair whose sizes allow a match. Documents of equal n-grams count as one."""
+def _overlaps(threshold: float, shards: int):
+    """In a fragment: the overlap there of every pair whose sizes allow a match, sent to the pair's shard. Documents of equal n-grams count as one."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
         if not rows:
             return
-        base = np.cumsum([0] + [len(r["sigs"]) for r in rows])
-        sig = np.concatenate([np.array(r["sigs"], np.int64) for r in rows])
-        sig, first, code = np.unique(sig, return_index=True, return_inverse=True)
+        sig = [unpack(r["sigs"], 8) for r in rows]
+        base = np.cumsum([0] + [len(x) for x in sig])
+        _, first, code = np.unique(np.concatenate(sig), return_index=True, return_inverse=True)
+        # copies meet in the same fragments, so the least of their numbers stands for them everywhere
+        uid = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(uid, code, np.concatenate([unpack(r["uids"], 8) for r in rows]).astype(np.int64))
         size = np.concatenate([unpack(r["sizes"], 4) for r in rows]).astype(np.int64)[first]
         n_hot = np.concatenate([unpack(r["n_hot"], 4) for r in rows]).astype(np.int64)[first]
+        # in the order of the numbers, so that x < y means the same in every fragment
+        order = np.argsort(uid)
+        place = np.empty(len(uid), np.int64)
+        place[order] = np.arange(len(uid))
+        uid, size, n_hot, code = uid[order], size[order], n_hot[order], place[code]
+        shard = (mix(uid.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
         doc = np.concatenate([code[unpack(r["docs"], 3).astype(np.int64) + f] for r, f in zip(rows, base)])
         gram = np.concatenate([np.cumsum(unpack(r["grams"], 6), dtype=np.uint64) for r in rows])
         rows.clear()
@@ -220,47 +232,96 @@ def _overlaps(threshold: float):
         least = threshold - 1e-9
         held, held_n = [], 0
 
-        def merged() -> pa.RecordBatch:
+        def sent() -> pa.RecordBatch:
             key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
-            x, y = np.divmod(key, len(sig))
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (sig[x], sig[y], n, size[x], size[y], n_hot[x], n_hot[y])], _PAIR_NAMES)
-
-        for d in np.unique(width):
-            if d < 2:
-                continue
-            lists = np.stack([doc[start[width == d] + i] for i in range(d)], axis=1)
-            # n-grams with the same documents count together
-            tag = np.zeros(len(lists), np.uint64)
-            for i in range(d):
-                tag = mix(tag + lists[:, i].astype(np.uint64))
-            _, one, times = np.unique(tag, return_index=True, return_counts=True)
-            for x, y, n in _pairs_of(lists[one], times):
-                ok = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
-                if ok.any():
-                    held.append((x[ok] * len(sig) + y[ok], n[ok]))
-                    held_n += len(held[-1][0])
-                if held_n > PAIRS_AT_ONCE:
-                    yield merged()
-                    held, held_n = [], 0
+            x, y = np.divmod(key, len(uid))
+            out = []
+            for s in np.unique(shard[x]):
+                mine = shard[x] == s
+                i, j = x[mine], y[mine]
+                near = np.append(True, i[1:] != i[:-1])
+                other = np.where(near, uid[j], np.diff(uid[j], prepend=0))
+                planes = (np.diff(uid[i], prepend=0), other, n[mine], size[i], size[j], n_hot[i], n_hot[j])
+                out.append((int(s), *(pack(v.astype(np.uint64), w) for v, (w, _) in zip(planes, _PLANES))))
+            types = (pa.int32(), *[pa.binary()] * len(_PLANES))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["shard", *(name for _, name in _PLANES)])
+
+        def by_lists() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for d in np.unique(width):
+                if d < 2:
+                    continue
+                first_at = start[width == d]
+                lists = np.stack([doc[first_at + i] for i in range(d)], axis=1)
+                # n-grams with the same documents count together
+                tag = np.zeros(len(lists), np.uint64)
+                for i in range(d):
+                    tag = mix(tag + lists[:, i].astype(np.uint64))
+                _, one, times = np.unique(tag, return_index=True, return_counts=True)
+                yield from _pairs_of(lists[one], times)
+
+        for x, y, n in by_lists():
+            ok = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
+            if ok.any():
+                held.append((x[ok] * len(uid) + y[ok], n[ok]))
+                held_n += len(held[-1][0])
+            if held_n > PAIRS_AT_ONCE:
+                yield sent()
+                held, held_n = [], 0
         if held:
-            yield merged()
+            yield sent()
+
+    names = ["shard", *(name for _, name in _PLANES)]
 
     def run(table: pa.Table) -> pa.Table:
         out = list(partial(iter(table.to_batches())))
-        return pa.Table.from_batches(out) if out else pa.Table.from_arrays([pa.array([], pa.int64())] * 7, _PAIR_NAMES)
+        return pa.Table.from_batches(out) if out else pa.Table.from_arrays([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * len(_PLANES)], names)
+
+    return run
+
+
+def _summed(threshold: float):
+    """In a shard: the overlaps of each pair added up, of pairs that may match; ``more`` bounds what hot n-grams may still add."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cols: list[list[np.ndarray]] = [[] for _ in _PLANES]
+        for r in table.to_pylist():
+            got = [unpack(r[name], w).astype(np.int64) for w, name in _PLANES]
+            a = np.cumsum(got[0])
+            near = np.append(True, a[1:] != a[:-1])
+            total = np.cumsum(got[1])
+            # the second number starts anew where the first changes
+            begin = np.maximum.accumulate(np.where(near, np.arange(len(a)), 0))
+            got[0], got[1] = a, total - (total[begin] - got[1][begin])
+            for c, v in zip(cols, got):
+                c.append(v)
+        a, b, n, size_a, size_b, hot_a, hot_b = (np.concatenate(c) for c in cols)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        n = np.add.reduceat(n[order], first)
+        a, b, size_a, size_b, hot_a, hot_b = a[first], b[first], *(v[order[first]] for v in (size_a, size_b, hot_a, hot_b))
+        # where both consist of hot n-grams for the most part those are counted already
+        done = (hot_a >= threshold * size_a - 1e-6) & (hot_b >= threshold * size_b - 1e-6)
+        more = np.where(done, 0, np.minimum(hot_a, hot_b))
+        most = np.minimum(n + more, np.minimum(size_a, size_b))
+        ok = most / (size_a + size_b - most) >= threshold
+        return pa.table({c: v[ok] for c, v in zip(("a", "b", "n", "size_a", "size_b", "more"), (a, b, n, size_a, size_b, more))})
 
     return run
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, sig, hot) of the documents that may have a partner."""
+    """(doc_id, uid, sig, hot) of the documents that may have a partner."""
     for batch in batches:
         for r in batch.to_pylist():
             docs, grams = unpack(r["docs"], 3).astype(np.int64), unpack(r["grams"], 6).astype(np.int64)
             order = np.argsort(docs, kind="stable")
             lists = np.split(grams[order], np.searchsorted(docs[order], np.arange(1, len(r["ids"]))))
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["sigs"], pa.int64()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "sig", "hot"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(r["ids"], pa.int64()), pa.array(unpack(r["uids"], 8).view(np.int64)), pa.array(unpack(r["sigs"], 8).view(np.int64)), pa.array(lists, pa.list_(pa.int64()))],
+                ["doc_id", "uid", "sig", "hot"],
+            )
 
 
 def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
@@ -280,30 +341,34 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int =
         bits = bucket_bits(spark)
         pieces = base.mapInArrow(_cut_up(bits, n, piece_bytes), _SENT)
         counted = pieces.groupBy("bucket").applyInArrow(_fragment_counts(hot), _SENT)
-        left = cut(counted.groupBy("piece").applyInArrow(_survivors(threshold), _LEFT))
-    parts = left.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps(threshold), _PAIRS)
-    same = [F.max(c).alias(c) for c in ("size_a", "size_b", "hot_a", "hot_b")]
-    pairs = parts.groupBy("a", "b").agg(F.sum("n").alias("n"), *same)
-    # only where both consist of hot n-grams for the most part are those counted already
-    done = reduce(lambda x, y: x & y, [F.col(f"hot_{s}") >= threshold * F.col(f"size_{s}") - 1e-6 for s in "ab"])
-    more = F.when(done, 0).otherwise(F.least("hot_a", "hot_b"))
+        # what is left is so much less that fewer fragments do, and a pair's overlap comes in fewer parts
+        left = cut(counted.groupBy("piece").applyInArrow(_survivors(threshold, 2), _LEFT))
+    parts = left.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps(threshold, 1 << bits), "shard int, " + ", ".join(f"{name} binary" for _, name in _PLANES))
+    pairs = cut(parts.groupBy("shard").applyInArrow(_summed(threshold), _PAIRS))
     enough = lambda o: o / (F.col("size_a") + F.col("size_b") - o) >= threshold
-    pairs = cut(pairs.withColumn("more", more).where(enough(F.least(F.col("n") + F.col("more"), "size_a", "size_b"))))
-    listed = left.where("bucket < 0").select("ids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, sig long, hot array<long>")
-    sets = listed.groupBy("sig").agg(F.first("hot").alias("hot"))
-    open_pairs = pairs.where("more > 0").select("a", "b", "n", "size_a", "size_b")
-    hot_a, hot_b = sets.select(F.col("sig").alias("a"), F.col("hot").alias("x")), sets.select(F.col("sig").alias("b"), F.col("hot").alias("y"))
+    listed = left.where("bucket < 0").select("ids", "uids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, uid long, sig long, hot array<long>")
+    sets = listed.groupBy("sig").agg(F.min("uid").alias("uid"), F.first("hot").alias("hot"))
+    open_pairs = pairs.where("more > 0").drop("more")
+    hot_a, hot_b = sets.select(F.col("uid").alias("a"), F.col("hot").alias("x")), sets.select(F.col("uid").alias("b"), F.col("hot").alias("y"))
     summed = open_pairs.join(hot_a, "a").join(hot_b, "b").withColumn("n", F.col("n") + F.size(F.array_intersect("x", "y")))
-    names = ["a", "b", "n", "size_a", "size_b"]
-    final = pairs.where("more = 0").select(names).unionByName(summed.select(names)).where(enough(F.col("n")))
+    final = pairs.where("more = 0").drop("more").unionByName(summed.select(open_pairs.columns)).where(enough(F.col("n")))
     final = final.select("a", "b", (F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))).alias("jaccard"))
-    members = listed.where("doc_id is not null").select("doc_id", "sig")
-    reps = members.groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    both = final.unionByName(final.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
-    across = both.join(reps.withColumnRenamed("sig", "b"), "b").join(members.withColumnRenamed("sig", "a"), "a").select("doc_id", "rep", "jaccard")
-    own = members.join(reps, "sig").select("doc_id", "rep", F.lit(1.0).alias("jaccard"))
-    found = across.unionByName(own).where("doc_id != rep")
-    return found.groupBy(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b")).agg(F.max("jaccard").alias("jaccard"))
+    named = listed.groupBy("sig").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"))
+    named = cut(named.where("rep is not null").select("uid", "rep", F.array_remove("ids", F.col("rep")).alias("copies"), F.size("ids").alias("n_ids")))
+    reps = named.select("uid", "rep")
+    size = named.agg(F.count(F.lit(1)).alias("sets"), F.sum("n_ids").alias("ids")).first()
+    reps = maybe_broadcast(reps, size["sets"])
+    pair = final.join(reps.select(F.col("uid").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("uid").alias("b"), F.col("rep").alias("rep_b")), "b")
+    copied = named.where("size(copies) > 0").select("uid", "rep", F.explode("copies").alias("doc_id"))
+    copies = maybe_broadcast(copied, (size["ids"] or 0) - size["sets"]).select("uid", "doc_id")
+    of_a = pair.join(copies.withColumnRenamed("uid", "a"), "a").select("doc_id", F.col("rep_b").alias("rep"), "jaccard")
+    of_b = pair.join(copies.withColumnRenamed("uid", "b"), "b").select("doc_id", F.col("rep_a").alias("rep"), "jaccard")
+    own = copied.select("doc_id", "rep", F.lit(1.0).alias("jaccard"))
+    found = pair.select(F.col("rep_a").alias("doc_id"), F.col("rep_b").alias("rep"), "jaccard").unionByName(of_a).unionByName(of_b).unionByName(own).where("doc_id != rep")
+    found = found.select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), "jaccard")
+    # only a doc_id with several texts can give a pair twice
+    ids = named.select(F.explode(F.concat(F.array("rep"), "copies")).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    return found if ids["n"] == ids["d"] else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def groups(pairs: DataFrame) -> DataFrame:
