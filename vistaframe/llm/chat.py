@@ -9,23 +9,27 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(conv_id, first_seq, role, text): the final messages that a log (conv_id, seq, kind, message, role, text) adds up to.
+    """(conv_id, message, first_seq, role, text): the final messages that a log (conv_id, seq, kind, message, role, text) adds up to.
 
     Events of a conversation apply in the order of seq (ties: by kind, then text). For a message:
-    ``message`` states it (anew, if it is there), ``delta`` appends to it, ``edit`` replaces its text,
-    ``regenerate`` empties it so that later deltas build another version. ``edit`` and ``regenerate`` also
-    take back every message that was begun after that message and before the event. The role is the last one
-    stated. Rows that are equal throughout are one event, delivered twice. Rows with a null conversation, seq
-    or message are dropped; other kinds, and null ones, are ignored; null texts are empty.
+    ``message`` begins it, anew and in a new place if it is there already, ``delta`` appends to it, ``edit``
+    replaces its text, ``regenerate`` empties it so that later deltas build another version. ``edit`` and
+    ``regenerate`` also take back every message that was begun after that message and before the event; its
+    number may be used again. The role is the last one stated. Rows that are equal throughout are one event, delivered twice. Rows with a null
+    conversation, seq or message are dropped; other kinds, and null ones, are ignored; null texts are empty.
     """
+    # partitioned by conversation once; what follows keeps that partitioning
     clean = (
         events.select("conv_id", "seq", "kind", "message", "role", F.coalesce("text", F.lit("")).alias("text"))
         .where("conv_id is not null and seq is not null and message is not null and kind in ('message', 'delta', 'edit', 'regenerate')")
+        .repartition("conv_id")
         .distinct()
     )
     reset = F.col("kind").isin("message", "edit", "regenerate")
     rewind = F.col("kind").isin("edit", "regenerate")
-    folded = clean.groupBy("conv_id", "message").agg(
+    so_far = Window.partitionBy("conv_id", "message").orderBy("seq", "kind", "text").rowsBetween(Window.unboundedPreceding, 0)
+    lives = clean.withColumn("life", F.coalesce(F.max(F.when(F.col("kind") == "message", F.col("seq"))).over(so_far), F.min("seq").over(so_far)))
+    folded = lives.groupBy("conv_id", "message", "life").agg(
         F.min("seq").alias("first_seq"),
         F.max(F.when(reset, F.struct("seq", "kind", "text"))).alias("reset"),
         F.max(F.when(rewind, F.col("seq"))).alias("rewound"),
@@ -35,10 +39,11 @@ def fold(events: DataFrame) -> DataFrame:
     # array_sort puts the events in order; those before the last reset no longer count, nor does a regenerate's text
     live = F.filter("log", lambda e: F.col("reset").isNull() | (e > F.col("reset")) | (e == F.col("reset")))
     parts = F.transform(live, lambda e: F.when(e["kind"] == "regenerate", F.lit("")).otherwise(e["text"]))
-    messages = folded.select("conv_id", "message", "first_seq", "rewound", "role", F.array_join(parts, "").alias("text"))
+    messages = folded.select("conv_id", "message", "life", "first_seq", "rewound", "role", F.array_join(parts, "").alias("text"))
     earlier = Window.partitionBy("conv_id").orderBy("first_seq", "message").rowsBetween(Window.unboundedPreceding, -1)
     stands = F.coalesce(F.max("rewound").over(earlier) <= F.col("first_seq"), F.lit(True))
-    return messages.withColumn("stands", stands).where("stands").select("conv_id", "message", "first_seq", "role", "text")
+    last = F.col("life") == F.max("life").over(Window.partitionBy("conv_id", "message"))
+    return messages.withColumn("stands", stands & last).where("stands").select("conv_id", "message", "first_seq", "role", "text")
 
 
 def render(messages: DataFrame) -> DataFrame:

@@ -86,8 +86,8 @@ def write_shards(docs: DataFrame, path: str, target_chars: int = 1_000_000) -> N
 
     Rows are matched by doc_id; with repeated ids each row goes to the first shard of its id.
     """
-    where = shard(docs, target_chars).groupBy("doc_id").agg(F.min("shard").alias("_shard"), F.min("curve").alias("_curve"))
-    placed = docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).drop(where["doc_id"])
+    where = shard(docs, target_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("_shard"), F.min("curve").alias("_curve"))
+    placed = docs.join(where, docs["doc_id"].eqNullSafe(where["_id"])).drop("_id")
     placed.repartition("_shard").sortWithinPartitions("_shard", "_curve", "doc_id").drop("_curve").write.partitionBy("_shard").parquet(path)
 
 
