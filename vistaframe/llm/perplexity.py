@@ -1,10 +1,11 @@
 """Quality rules by n-gram perplexity: a modified Kneser-Ney bigram model of each language, counted over the whole corpus.
 
-The corpus is read in pieces, stretches of one scan task's rows. A piece sends its different bigrams, sorted
-arrays of word hashes with counts, to the buckets of their first words; a bucket adds the arrays up and answers
-every piece with the totals, in the order in which it asked. So the model that a piece needs comes back as
-sorted hash arrays aligned with its own, through files in the shared folder, and neither text nor any
-occurrence of an n-gram is ever shuffled. The second reading of the corpus scores it. Word hashes have 48 bits.
+The corpus is read three times in pieces, stretches of one scan task's rows. First each piece sends the sorted
+hashes of its different bigrams, with counts, to buckets; a bucket adds them up and tells every piece the totals,
+in the order in which it asked, and the first that asked for a bigram that it owns it. Then each piece sends what
+the bigrams it owns add to the statistics of their words, and is told those words' sums. The third reading scores:
+the model that a piece needs has come back as arrays in the order of its own sorted hashes, through files in the
+shared folder, and neither text nor any occurrence of an n-gram is ever shuffled.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ _MASK = np.uint64((1 << WIDTH) - 1)
 BEGIN = np.uint64(hash_str("<begin>") & (1 << WIDTH) - 1)
 PIECE_BYTES = 32 << 20
 SLOTS = 2048
+SPARE = 34
 
 
 class Piece:
@@ -69,80 +71,137 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int,
         yield task << 20 | nth, Piece(parts)
 
 
-_ASK = "lang string, bucket int, piece long, words binary, runs binary, nexts binary, counts binary"
-_SAID = "kind string, lang string, bucket int, piece long, words binary, a binary, b binary, stats array<long>"
+_ASK = "lang string, bucket int, piece long, keys binary, a binary"
+_SAID = "lang string, bucket int, piece long, a binary, b binary, stats array<long>"
+_SAID_TYPES = (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 
 
-def _count(bits: int, limit: int):
+def _batch(rows: list[tuple], schema: str, types: tuple) -> pa.RecordBatch:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names)
+
+
+class Sorted:
+    """Keys of which the top ``bits`` name a bucket, in order. So many digits are kept that keys stay rare among the possible ones, however many buckets there are."""
+
+    def __init__(self, key: np.ndarray, bits: int) -> None:
+        key = key >> np.uint64(64 - min(64, SPARE + bits))
+        self.order = np.argsort(key, kind="stable")
+        self.key = key[self.order]
+        self.at = np.searchsorted(self.key >> np.uint64(min(64, SPARE + bits) - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        self.buckets = np.flatnonzero(self.at[1:] > self.at[:-1])
+
+    def part(self, b: int) -> slice:
+        return slice(self.at[b], self.at[b + 1])
+
+    def packed(self, b: int) -> bytes:
+        return pack(np.diff(self.key[self.part(b)], prepend=np.uint64(0)), 8)
+
+    def answered(self, found: list[np.ndarray]) -> np.ndarray:
+        """Answers by bucket, in the order of the keys as they were before sorting."""
+        flat = np.concatenate([np.empty(found[0].shape[:-1] + (0,)) if found else np.empty(0), *found], axis=-1)
+        if flat.shape[-1] != len(self.key):
+            raise RuntimeError("the documents changed between two readings")
+        out = np.empty(flat.shape)
+        out[..., self.order] = flat
+        return out
+
+
+def _pairs(known: np.ndarray, pair: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Sorted]:
+    """(code of each token's bigram, its words before and after, count) and the bigrams' sorted keys."""
+    unique, code, count = np.unique(pair, return_inverse=True, return_counts=True)
+    before, after = np.divmod(unique, len(known))
+    return code, before, after, count, Sorted(mix(known[before] * np.uint64(0x9E3779B97F4A7C15) + known[after]), bits)
+
+
+def _words(known: np.ndarray, bits: int) -> Sorted:
+    return Sorted(mix(known + np.uint64(1)), bits)
+
+
+def _ask_pairs(bits: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, piece in pieces(batches, limit):
+            rows = []
             for lang, (known, pair, _) in piece.tables.items():
-                pair, count = np.unique(pair, return_counts=True)
-                before, after = np.divmod(pair, len(known))
-                runs = np.bincount(before, minlength=len(known))
-                at = np.searchsorted(known >> np.uint64(WIDTH - bits), np.arange((1 << bits) + 1))
-                into = np.append(0, np.cumsum(runs))[at]
-                rows = []
-                for b in np.flatnonzero(at[1:] > at[:-1]):
-                    w, p = slice(at[b], at[b + 1]), slice(into[b], into[b + 1])
-                    rows.append((lang, int(b), number, pack(known[w], 6), pack(runs[w], 4), pack(known[after[p]], 6), pack(count[p], 4)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 4))], ["lang", "bucket", "piece", "words", "runs", "nexts", "counts"])
+                if len(pair):
+                    *_, count, keys = _pairs(known, pair, bits)
+                    count = count[keys.order]
+                    rows += [(lang, int(b), number, keys.packed(b), pack(count[keys.part(b)].astype(np.uint64), 4)) for b in keys.buckets]
+            yield _batch(rows, _ASK, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))
 
     return run
 
 
-def _said(rows: list[tuple]) -> pa.Table:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["kind", "lang", "bucket", "piece", "words", "a", "b", "stats"])
-
-
-def _merge(bits: int):
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["piece"])
-        lang, bucket = rows[0]["lang"], rows[0]["bucket"]
-        words = [unpack(r["words"], 6) for r in rows]
-        known, code = np.unique(np.concatenate(words), return_inverse=True)
-        at = np.cumsum([0] + [len(w) for w in words])
-        runs = np.concatenate([unpack(r["runs"], 4) for r in rows]).astype(np.int64)
-        before = np.repeat(code, runs)
-        nexts = [unpack(r["nexts"], 6) for r in rows]
-        size = np.cumsum([0] + [len(x) for x in nexts])
-        after = np.concatenate(nexts)
-        count = np.concatenate([unpack(r["counts"], 4) for r in rows]).astype(np.int64)
-        pair, first, same = np.unique(mix(known[before] * np.uint64(0x9E3779B97F4A7C15) + after), return_index=True, return_inverse=True)
-        total = np.bincount(same, count, len(pair)).astype(np.int64)
-        context, n = before[first], len(known)
-        ctx = [np.bincount(context, total, n)] + [np.bincount(context[hit], minlength=n) for hit in (total == 1, total == 2, total >= 3)]
-        ctx = np.stack(ctx, axis=1).astype(np.int64)
-        out = [("stats", lang, bucket, 0, None, None, None, [len(pair), *(int((total == i).sum()) for i in (1, 2, 3, 4))])]
-        for i, r in enumerate(rows):
-            mine = slice(at[i], at[i + 1])
-            out.append(("pairs", lang, bucket, r["piece"], None, pack(total[same[size[i] : size[i + 1]]], 5), pack(ctx[code[mine]].T.ravel(), 5), None))
-            out.append(("ask", lang, bucket, r["piece"], r["words"], None, None, None))
-        follow, seen = np.unique(after[first], return_counts=True)
-        cut_at = np.searchsorted(follow >> np.uint64(WIDTH - bits), np.arange((1 << bits) + 1))
-        for b in np.flatnonzero(cut_at[1:] > cut_at[:-1]):
-            w = slice(cut_at[b], cut_at[b + 1])
-            out.append(("follow", lang, int(b), 0, pack(follow[w], 6), pack(seen[w], 5), None, None))
-        return _said(out)
+def _count_pairs(table: pa.Table) -> pa.Table:
+    """Totals of a bucket's bigrams for every piece, which of them it owns, and how many occur once, twice, three and four times."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["piece"])
+    keys = [np.cumsum(unpack(r["keys"], 8), dtype=np.uint64) for r in rows]
+    _, first, code = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    total = np.bincount(code, np.concatenate([unpack(r["a"], 4) for r in rows]).astype(float)).astype(np.uint64)
+    own = np.zeros(len(code), np.uint64)
+    own[first] = 1
+    at = np.cumsum([0] + [len(x) for x in keys])
+    lang, bucket = rows[0]["lang"], rows[0]["bucket"]
+    out = [(lang, bucket, r["piece"], pack(total[code[a:b]], 5), pack(own[a:b], 1), None) for r, a, b in zip(rows, at[:-1], at[1:])]
+    out.append((lang, bucket, -1, None, None, [len(total), *(int((total == i).sum()) for i in (1, 2, 3, 4))]))
+    return pa.Table.from_batches([_batch(out, _SAID, _SAID_TYPES)])
+
+
+class Answers:
+    """What the buckets have told the pieces, in files by slot."""
+
+    def __init__(self, path: str) -> None:
+        self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path)
+
+    def of(self, number: int) -> dict[str, list[dict]]:
+        rows = pyarrow.parquet.read_table(f"{self.root}/slot={(number >> 20) % SLOTS}", filesystem=self.fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
+        out: dict[str, list[dict]] = {}
+        for r in sorted(rows, key=lambda r: r["bucket"]):
+            out.setdefault(r["lang"], []).append(r)
+        return out
+
+
+def _told(df: DataFrame, name: str) -> str:
+    """Writes answers for the pieces and returns where; those for piece -1 are in slot -1."""
+    path = fresh_path(df.sparkSession, name)
+    slot = F.when(F.col("piece") < 0, -1).otherwise(F.pmod(F.shiftright("piece", 20), F.lit(SLOTS))).cast("int")
+    df.withColumn("slot", slot).repartition("slot").sortWithinPartitions("slot", "piece").write.partitionBy("slot").option("parquet.block.size", 4 << 20).parquet(path)
+    return path
+
+
+def _ask_words(path: str, bits: int, limit: int):
+    """What a piece's words gain from its tokens (their count as contexts) and from the bigrams that it owns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = Answers(path)
+        for number, piece in pieces(batches, limit):
+            said, rows = answers.of(number), []
+            for lang, (known, pair, _) in piece.tables.items():
+                if not len(pair):
+                    continue
+                _, before, after, count, keys = _pairs(known, pair, bits)
+                total = keys.answered([unpack(r["a"], 5).astype(float) for r in said[lang]])
+                own = keys.answered([unpack(r["b"], 1).astype(float) for r in said[lang]]) > 0
+                n = len(known)
+                gains = [np.bincount(before, count, n), *(np.bincount(before[own & hit], minlength=n) for hit in (total == 1, total == 2, total >= 3)), np.bincount(after[own], minlength=n)]
+                words = _words(known, bits)
+                gains = np.stack(gains).astype(np.uint64)[:, words.order]
+                rows += [(lang, int(b), number, words.packed(b), pack(gains[:, words.part(b)].ravel(), 5)) for b in words.buckets]
+            yield _batch(rows, _ASK, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))
 
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    told = [r for r in rows if r["kind"] == "follow"]
-    words = np.concatenate([np.empty(0, np.uint64), *(unpack(r["words"], 6) for r in told)])
-    seen = np.concatenate([np.empty(0, np.uint64), *(unpack(r["a"], 5) for r in told)]).astype(np.int64)
-    known, code = np.unique(words, return_inverse=True)
-    total = np.append(np.bincount(code, seen, len(known)).astype(np.int64), 0)
-    out = []
-    for r in sorted((r for r in rows if r["kind"] == "ask"), key=lambda r: r["piece"]):
-        w = unpack(r["words"], 6)
-        i = np.searchsorted(known, w)
-        i[i < len(known)] = np.where(known[i[i < len(known)]] == w[i < len(known)], i[i < len(known)], len(known))
-        out.append(("words", r["lang"], r["bucket"], r["piece"], None, pack(total[i], 5), None, None))
-    return _said(out) if out else pa.Table.from_pylist([], table.schema)
+def _count_words(table: pa.Table) -> pa.Table:
+    """Sums of a bucket's words for every piece: occurrences as a context, different next words seen once, twice and more, different words before."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["piece"])
+    keys = [np.cumsum(unpack(r["keys"], 8), dtype=np.uint64) for r in rows]
+    known, code = np.unique(np.concatenate(keys), return_inverse=True)
+    gains = np.concatenate([unpack(r["a"], 5).reshape(5, -1) for r in rows], axis=1).astype(float)
+    total = np.stack([np.bincount(code, g, len(known)) for g in gains]).astype(np.uint64)
+    at = np.cumsum([0] + [len(x) for x in keys])
+    out = [(r["lang"], r["bucket"], r["piece"], pack(total[:, code[a:b]].ravel(), 5), None, None) for r, a, b in zip(rows, at[:-1], at[1:])]
+    return pa.Table.from_batches([_batch(out, _SAID, _SAID_TYPES)])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -174,25 +233,19 @@ def _costs(row, code, pairs, total, ctx, follow, stat, rows: int) -> np.ndarray:
     return np.bincount(r, -np.log(p) * own, rows)
 
 
-def _score(path: str, model, limit: int):
+def _score(pair_path: str, word_path: str, model, bits: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats = model.value
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        stats, of_pairs, of_words = model.value, Answers(pair_path), Answers(word_path)
         for number, piece in pieces(batches, limit):
-            said = pyarrow.parquet.read_table(f"{root}/slot={(number >> 20) % SLOTS}", filesystem=fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
+            about_pairs, about_words = of_pairs.of(number), of_words.of(number)
             cost = np.zeros(len(piece.ids))
             for lang, (known, pair, row) in piece.tables.items():
                 if not len(pair):
                     continue
-                mine = sorted((r for r in said if r["lang"] == lang), key=lambda r: r["bucket"])
-                both = [r for r in mine if r["kind"] == "pairs"]
-                total = np.concatenate([unpack(r["a"], 5) for r in both]).astype(float)
-                ctx = np.concatenate([unpack(r["b"], 5).reshape(4, -1).T for r in both]).astype(float)
-                follow = np.concatenate([unpack(r["a"], 5) for r in mine if r["kind"] == "words"]).astype(float)
-                unique, code = np.unique(pair, return_inverse=True)
-                if len(unique) != len(total) or len(known) != len(ctx):
-                    raise RuntimeError("the documents changed between the two readings")
-                cost += _costs(row, code, np.divmod(unique, len(known)), total, ctx, follow, stats[lang], len(piece.ids))
+                code, before, after, _, keys = _pairs(known, pair, bits)
+                total = keys.answered([unpack(r["a"], 5).astype(float) for r in about_pairs[lang]])
+                sums = _words(known, bits).answered([unpack(r["a"], 5).reshape(5, -1).astype(float) for r in about_words[lang]])
+                cost += _costs(row, code, (before, after), total, sums[:4].T, sums[4], stats[lang], len(piece.ids))
             n = piece.n
             yield pa.RecordBatch.from_arrays(
                 [piece.ids, pa.array([piece.langs[k] for k in piece.lang], pa.string()), pa.array(n, pa.int64()), pa.array(cost / np.maximum(n, 1), mask=n == 0)],
@@ -215,17 +268,17 @@ def log_perplexities(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFra
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     with steady_splits(spark):
-        base = steady(base)
+        base, schema = steady(base), "doc_id long, lang string, n_words long, log_perplexity double"
+        if not base.where("text rlike '\\\\S'").take(1):
+            return base.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("double").alias("log_perplexity"))
         bits = bucket_bits(spark)
-        asked = base.mapInArrow(_count(bits, piece_bytes), _ASK)
-        said = cut(asked.groupBy("lang", "bucket").applyInArrow(_merge(bits), _SAID))
-        rows = said.where("kind = 'stats'").groupBy("lang").agg(*[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(5)]).collect()
-        stats = {r["lang"]: (float(r["n0"]), *discounts(*(r[f"n{i}"] for i in range(1, 5)))) for r in rows}
-        answers = said.where("kind in ('ask', 'follow')").groupBy("lang", "bucket").applyInArrow(_answer, _SAID)
-        model = said.where("kind = 'pairs'").unionByName(answers).select("kind", "lang", "bucket", "piece", "a", "b", F.pmod(F.shiftright("piece", 20), F.lit(SLOTS)).cast("int").alias("slot"))
-        path = fresh_path(spark, "model")
-        model.repartition("slot").sortWithinPartitions("slot", "piece").write.partitionBy("slot").option("parquet.block.size", 4 << 20).parquet(path)
-        return cut(base.mapInArrow(_score(path, spark.sparkContext.broadcast(stats), piece_bytes), "doc_id long, lang string, n_words long, log_perplexity double"))
+        asked = base.mapInArrow(_ask_pairs(bits, piece_bytes), _ASK)
+        pair_path = _told(asked.groupBy("lang", "bucket").applyInArrow(_count_pairs, _SAID), "pairs")
+        sums = spark.read.parquet(f"{pair_path}/slot=-1").groupBy("lang").agg(*[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(5)]).collect()
+        stats = {r["lang"]: (float(r["n0"]), *discounts(*(r[f"n{i}"] for i in range(1, 5)))) for r in sums}
+        words = base.mapInArrow(_ask_words(pair_path, bits, piece_bytes), _ASK)
+        word_path = _told(words.groupBy("lang", "bucket").applyInArrow(_count_words, _SAID), "words")
+        return cut(base.mapInArrow(_score(pair_path, word_path, spark.sparkContext.broadcast(stats), bits, piece_bytes), schema))
 
 
 def _median(found: list[tuple[int, int]]) -> float:
