@@ -198,7 +198,7 @@ ask("select_all_fields", {"dataset": "nation"}, "select * from nation")
 # merging: batches, slices, views
 
 _HOURS = {"dataset": "events", "group": {"by": [_by("event_type"), _by("ts", "interval", "hour", unit="hour")], "aggregate": [COUNT, _agg("value", "avg", "mean"), _agg("value", "min", "low"), _agg("user_id", "distinctCount", "users")]}}
-_HOURS_SQL = "select event_type, date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(avg(value), 4) as mean, min(value) as low, count(distinct user_id) as users from events group by 1, 2"
+_HOURS_SQL = "select event_type, date_trunc('hour', ts)::timestamp as hour, count(*) as n, round(avg(value), 9) as mean, min(value) as low, count(distinct user_id) as users from events group by 1, 2"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
@@ -217,7 +217,7 @@ def _rounded(df: DataFrame, **digits: int) -> DataFrame:
 
 @query("flagship_hourly", _HOURS_SQL)
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(engine(spark, sf, ["events"]).query(_HOURS), mean=4)
+    return _rounded(engine(spark, sf, ["events"]).query(_HOURS), mean=9)
 
 
 @query("slice_equals_full", _HOURS_SQL)
@@ -232,7 +232,7 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     for i in range(8):
         more, scope = e._partials(q, info.start + width * i, info.end + timedelta(1) if i == 7 else info.start + width * (i + 1))
         parts += more
-    return _rounded(conclude(q, combine(q, parts), scope, e.registry.table, e.registry.schema), mean=4)
+    return _rounded(conclude(q, combine(q, parts), scope, e.registry.table, e.registry.schema), mean=9)
 
 
 @query("batch_union", "select 'orders' as name, count(*) as n from orders where o_orderdate >= timestamp '1995-01-01' union all select 'lineitem', count(*) from lineitem where l_shipdate >= timestamp '1995-01-01'")
@@ -354,10 +354,10 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.decimate(_table(spark, sf, "events").select("event_id", "ts"), ["ts", "event_id"], 200)
 
 
-@query("time_means", "select to_timestamp(floor(epoch_ms(ts) / 3600000) * 3600)::timestamp as bucket, round(avg(value), 4) as mean from events group by 1")
+@query("time_means", "select to_timestamp(floor(epoch_ms(ts) / 3600000) * 3600)::timestamp as bucket, round(avg(value), 9) as mean from events group by 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return _rounded(sampling.time_means(_table(spark, sf, "events"), "ts", "value", 3_600_000), mean=4).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
+    return _rounded(sampling.time_means(_table(spark, sf, "events"), "ts", "value", 3_600_000), mean=9).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
 @query("random_sample")
