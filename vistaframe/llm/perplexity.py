@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaframe.llm.shared import bucket_bits, cut, fresh_path, maybe_broadcast, steady, steady_splits
-from vistaframe.llm.text import Words, chunks, hash_str, mix, pack, unpack
+from vistaframe.llm.text import Words, chunks, hash_str, mix, pack, release, unpack
 
 WIDTH = 48
 _MASK = np.uint64((1 << WIDTH) - 1)
 BEGIN = np.uint64(hash_str("<begin>") & (1 << WIDTH) - 1)
-PIECE_BYTES = 32 << 20
+PIECE_BYTES = 10 << 20
 SLOTS = 2048
 SPARE = 34
 
@@ -42,6 +42,7 @@ class Piece:
         first = np.cumsum([0] + [w.rows for _, w in parts])
         row = np.concatenate([w.row + f for (_, w), f in zip(parts, first)])
         word = np.concatenate([w.hash for _, w in parts]) & _MASK
+        parts.clear()
         of = self.lang[row] if len(row) else np.empty(0, np.int32)
         self.tables = {}
         for k, lang in enumerate(self.langs):
@@ -67,8 +68,11 @@ def pieces(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int,
             if size >= limit:
                 yield task << 20 | nth, Piece(parts)
                 nth, parts, size = nth + 1, [], 0
+                release()
     if parts:
         yield task << 20 | nth, Piece(parts)
+    del parts
+    release()
 
 
 _ASK = "lang string, bucket int, piece long, keys binary, a binary"
