@@ -267,7 +267,7 @@ def log_perplexities(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFra
     contexts and continuations (a context's discounts stay as they are), and a word that no other document has
     counts as half a continuation. Texts that are null or have no word get a null. Null languages are a language of the empty name. Repeated rows count each time and
     score alike; doc_id may be null; other columns are not read; an empty table gives none. Documents that
-    don't come straight from files are first written to the shared folder, so that both readings see the same.
+    don't come straight from files are first written to the shared folder, so that all readings see the same.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
