@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaframe.llm.shared import bucket_bits, cut, maybe_broadcast, steady, steady_splits
-from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, row_ngrams, unpack
+from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, release, row_ngrams, unpack
 
 WIDTH = 48
 PIECE_BYTES = 12 << 20
@@ -97,8 +97,11 @@ def _cut_up(bits: int, n: int, limit: int):
                 if size >= limit:
                     yield flush(task << 20 | nth, parts)
                     nth, parts, size = nth + 1, [], 0
+                    release()
         if parts:
             yield flush(task << 20 | nth, parts)
+        del parts
+        release()
 
     return run
 
@@ -107,6 +110,7 @@ def _fragment_counts(hot: int):
     """In a fragment: which n-grams occur in two documents or more, returned to the pieces that hold them, marked if hot."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         rows = table.to_pylist()
         out = [tuple(r[k] for k in _NAMES) for r in rows if r["kind"] == "docs"]
         rows = [r for r in rows if r["kind"] == "grams"]
@@ -138,6 +142,7 @@ def _survivors(threshold: float, coarser: int):
     """In a piece: the documents that may have a partner, with their shared n-grams by fragment; bucket -1 lists them with their hot n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         head = next(r for r in rows if r["kind"] == "docs")
         rows = [r for r in rows if r["kind"] == "grams"]
@@ -331,6 +336,7 @@ def _overlaps(threshold: float, shards: int):
 
     def run(table: pa.Table) -> pa.Table:
         out = list(partial(iter(table.to_batches())))
+        release()
         return pa.Table.from_batches(out) if out else pa.Table.from_arrays([pa.array([], pa.int32()), *[pa.array([], pa.binary())] * len(_PLANES)], names)
 
     return run

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vistaframe.llm.shared import bucket_bits, cut, fresh_path, steady, steady_splits
-from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, unpack
+from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, release, unpack
 
 WIDTH = 48
-PIECE_BYTES = 24 << 20
+PIECE_BYTES = 10 << 20
 SLOTS = 2048
 SYMBOL = np.uint64((1 << 32) - 1)
 
@@ -88,8 +88,11 @@ def pieces(batches: Iterator[pa.RecordBatch], k: int, min_words: int, limit: int
             if size >= limit:
                 yield task << 20 | nth, Piece(parts, k, min_words)
                 nth, parts, size = nth + 1, [], 0
+                release()
     if parts:
         yield task << 20 | nth, Piece(parts, k, min_words)
+    del parts
+    release()
 
 
 def _ask(bits: int, k: int, min_words: int, limit: int):
@@ -303,6 +306,8 @@ def _judge(min_words: int):
         for k in np.unique(sub):
             mine = np.flatnonzero(sub == k)
             repeated_bits[mine], later_bits[mine] = _windows(doc[mine], start[mine], length[mine], first_symbol[mine], symbol, min_words)
+        del symbol
+        release()
         out = []
         row_of, piece_of = doc_row[of], piece[of]
         keep = np.flatnonzero(repeated_bits)
