@@ -26,6 +26,20 @@ def test_recall(spark, spread):
     assert np.mean([len(found[i].keys() & w) / 5 for i, w in enumerate(want)]) >= 0.95
 
 
+@pytest.mark.parametrize("offset", [2.0, 3.0])
+def test_recall_with_a_common_offset(spark, offset):
+    """Loose clusters far from the origin: raw cosines are all high, those of the codes' space are not."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 64))[rng.integers(0, 60, 3000)] + 0.8 * rng.normal(size=(3000, 64)) + offset * rng.normal(size=64)
+    x = x.astype(np.float32)
+    found: dict[int, set[int]] = {}
+    for r in nearest(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA), k=10, turns=3).collect():
+        found.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    want = brute_force(x.astype(float), 10)
+    assert len(found) == 3000 and all(len(v) == 10 for v in found.values())
+    assert np.mean([len(found[i] & w) / 10 for i, w in enumerate(want)]) >= 0.95
+
+
 def test_every_code_within_the_radius(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 6)

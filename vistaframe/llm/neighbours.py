@@ -3,8 +3,8 @@
 A rotation learned on all vectors turns each into a code of up to 64 signs. Codes are split into substrings, and a
 table for each substring finds every code within the Hamming radius (if two codes differ in ``radius`` digits at
 most, some substring differs in its share at most), whose floats then decide. A row whose k-th neighbour found so
-is near enough that the radius can hardly have missed a nearer one is settled; the others, for which the radius
-is too small, are compared with all vectors, block by block.
+is near enough that the radius can hardly have missed a nearer one is settled (see ``settled_rows``); the others,
+for which the radius is too small, are compared with all vectors, block by block.
 """
 
 from __future__ import annotations
@@ -164,7 +164,10 @@ def within_radius(codes: DataFrame, bits: int, radius: int, rows: int) -> DataFr
 
 
 def sure_cosine(bits: int, radius: int, sure: float = 0.95) -> float:
-    """The cosine from which on a pair's codes are within the radius with this probability, each sign differing with angle / pi."""
+    """The cosine from which on a pair's codes are within the radius with this probability, each sign differing with angle / pi.
+
+    The angle is that of the centred and projected vectors of which the codes are the signs, not of the vectors themselves.
+    """
     def held(p: float) -> float:
         return sum(comb(bits, i) * p**i * (1 - p) ** (bits - i) for i in range(radius + 1))
 
@@ -175,6 +178,19 @@ def sure_cosine(bits: int, radius: int, sure: float = 0.95) -> float:
     return cos(pi * low)
 
 
+def settled_rows(near: DataFrame, codes: DataFrame, k: int, bits: int, radius: int) -> DataFrame:
+    """The vec_ids for which the radius can hardly have missed a neighbour nearer than the k-th one found.
+
+    Such a neighbour's vector lies within sqrt(2 - 2 cosine) of the row's, and so does its projection, whatever lies
+    outside the projection. From the centred projection of the row, of squared length ``size``, it is then seen under
+    an angle whose sine is at most the ratio of the two, which must keep within that of ``sure_cosine``. A common
+    offset of all vectors makes ``size`` small, so that fewer rows are settled.
+    """
+    sine2 = 1 - sure_cosine(bits, radius) ** 2
+    kth = near.where(F.col("rank") == k).select("vec_id", "cosine")
+    return kth.join(codes.select("vec_id", "size"), "vec_id").where(2 - 2 * F.col("cosine") + 1e-6 <= sine2 * F.col("size")).select("vec_id")
+
+
 def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         score = np.einsum("ij,ij->i", _floats(batch.column("x")), _floats(batch.column("y"))) if batch.num_rows else np.empty(0)
@@ -231,8 +247,8 @@ def nearest(vectors: DataFrame, k: int = 10, share: float = SHARE, turns: int =
     """(vec_id, neighbour, cosine, rank): the ``k`` nearest other rows of every row by cosine, rank 1 first; ties by id.
 
     ``share`` is the Hamming radius as a share of the code's digits. Rows that the radius doesn't settle are
-    searched exactly, so approximate are only neighbours nearer than ``sure_cosine``. Cosines are rounded to 6
-    digits. For rows that are left out, and for repeated ids, see ``clean``. A table of one row or none gives none;
+    searched exactly; which are settled is decided in the space of the codes (see ``settled_rows``), so an offset
+    that all vectors share doesn't matter. Cosines are rounded to 6 digits. For rows that are left out, and for repeated ids, see ``clean``. A table of one row or none gives none;
     other columns are not read.
     """
     spark = vectors.sparkSession
@@ -248,17 +264,18 @@ def nearest(vectors: DataFrame, k: int = 10, share: float = SHARE, turns: int =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
         for batch in batches:
-            on = (_floats(batch.column("embedding")) - mean) @ matrix > 0 if batch.num_rows else np.empty((0, bits), bool)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array((on * weight).sum(1, dtype=np.uint64).view(np.int64))], ["vec_id", "code"])
+            x = (_floats(batch.column("embedding")) - mean) @ matrix if batch.num_rows else np.empty((0, bits))
+            code = ((x > 0) * weight).sum(1, dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(code), pa.array((x * x).sum(1))], ["vec_id", "code", "size"])
 
-    codes = cut(unit.mapInArrow(encode, "vec_id long, code long"))
+    codes = cut(unit.mapInArrow(encode, "vec_id long, code long, size double"))
     pairs = within_radius(codes, bits, radius, rows)
     x, y = unit.select("vec_id", F.col("embedding").alias("x")), unit.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("y"))
     near = pairs.join(x, "vec_id").join(y, "neighbour").select("vec_id", "neighbour", "x", "y").mapInArrow(_cosines, "vec_id long, neighbour long, cosine double")
     first = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
     score = F.round("cosine", 6).alias("cosine")
     near = cut(near.select("vec_id", "neighbour", score).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k))
-    settled = near.where((F.col("rank") == k) & (F.col("cosine") >= sure_cosine(bits, radius))).select("vec_id")
+    settled = cut(settled_rows(near, codes, k, bits, radius))
     settled = maybe_broadcast(settled, settled.count())
     rest = unit.join(settled, "vec_id", "left_anti")
     blob = "ids binary, floats binary"
