@@ -60,6 +60,19 @@ def test_mixing_follows_the_weights(spark):
     assert mix(df.limit(0)).collect() == [] and mix(df.where("source = 'c'")).collect() == []
 
 
+def test_dealing_goes_on_without_an_exhausted_source(spark):
+    blocks = {"a": 60, "b": 100, "c": 3}
+    dealt = apportion({"a": 6.0, "b": 3.0, "c": 1.0}, blocks, 4, go_on=True)
+    assert {s: sum(n for x, _, n in dealt if x == s) for s in blocks} == blocks
+    sizes = [sum(n for _, k, n in dealt if k == i) for i in range(4)]
+    assert max(sizes) - min(sizes) <= 1
+    rows = [(i, "w " * 49, "en", "ab"[i % 2], 1) for i in range(2000)] + [(5000 + i, "w " * 49, "en", "small", 1) for i in range(20)]
+    rows += [(6000, "w " * 5, "en", "tiny", 1), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = [tuple(r) for r in mix(df, block_tokens=1000, shards=4, go_on=True).select("doc_id", "source", "shard").collect()]
+    assert sorted(map(str, (r[:2] for r in found))) == sorted(str((r[0], r[3] or "")) for r in rows) and {r[2] for r in found} == set(range(4))
+
+
 def test_hilbert():
     side = np.arange(8)
     x, y, z = (a.ravel() for a in np.meshgrid(side, side, side))

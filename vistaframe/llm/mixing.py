@@ -11,11 +11,12 @@ from vistaframe.llm.packing import tokens
 from vistaframe.llm.shared import cut, hex_range, maybe_broadcast, running_start
 
 
-def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int) -> list[tuple[str, int, int]]:
+def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int, go_on: bool = False) -> list[tuple[str, int, int]]:
     """(source, shard, quota): blocks dealt one by one to the source with the highest quotient.
 
     A source with k blocks so far has the quotient weight / (2k + 1); ties go to the first name. Dealing ends
-    when the next block falls to a source that has none left, so no source is used twice and the weights hold.
+    when the next block falls to a source that has none left, so no source is used twice and the weights hold; with
+    ``go_on`` that source drops out and the others are dealt on, until all blocks of sources with a weight are used.
     The sequence is cut into ``shards`` runs of equal length to within one block.
     """
     heap = [(-w, s, 0) for s, w in weights.items() if w > 0]
@@ -24,7 +25,10 @@ def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int) ->
     while heap:
         _, s, k = heap[0]
         if k >= blocks.get(s, 0):
-            break
+            if not go_on:
+                break
+            heapq.heappop(heap)
+            continue
         heapq.heapreplace(heap, (-weights[s] / (2 * k + 3), s, k + 1))
         dealt.append(s)
     quota: dict[tuple[str, int], int] = {}
@@ -34,7 +38,7 @@ def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int) ->
     return [(s, shard, n) for (s, shard), n in sorted(quota.items())]
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = 4096, shards: int = 16, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = 4096, shards: int = 16, seed: int = 17, go_on: bool = False) -> DataFrame:
     """(doc_id, source, block, shard): the documents of the chosen blocks.
 
     Within a source, documents in the order of md5(seed, doc_id) are cut every ``block_tokens`` tokens; a
@@ -43,18 +47,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
     target shares; by default the square root of each source's tokens (whole ones, so that it is exact).
     Null sources are one source of the empty name, null texts one token; equal rows stay in one order and each
     counts; null doc_ids sort as the empty string. A source with less than one block ends the dealing at its
-    first turn only if it has positive weight and nothing at all, so such sources are left out beforehand. Texts of
-    any length count whole. An empty table gives none; other columns are not read. Driver memory holds a few
-    numbers for each source.
+    first turn only if it has positive weight and nothing at all, so such sources are left out beforehand. So the source
+    that runs out first bounds what is used of all. With ``go_on`` it doesn't: dealing continues among the others, a
+    source's last, partial block counts as a block, and every document of a source with a weight gets a shard; the
+    weights hold until the first source runs out, and among those left from then on. Texts of any length
+    count whole. An empty table gives none; other columns are not read. Driver memory holds a few numbers for each source.
     """
     spark = docs.sparkSession
     empty = "doc_id long, source string, block long, shard int"
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("key")
     sized = cut(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), tokens().alias("n_tokens"), key).withColumn("slice", hex_range("key")))
     total = {r["source"]: r["t"] for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    blocks = {s: t // block_tokens for s, t in total.items() if t >= block_tokens}
+    blocks = {s: -(-t // block_tokens) if go_on else t // block_tokens for s, t in total.items() if go_on or t >= block_tokens}
     target = {s: (weights.get(s, 0.0) if weights is not None else float(int(total[s] ** 0.5))) for s in blocks}
-    quotas = apportion(target, blocks, shards)
+    quotas = apportion(target, blocks, shards, go_on)
     if not quotas:
         return spark.createDataFrame([], empty)
     placed = running_start(sized, ["source"], "slice", ["key", "doc_id", "n_tokens"], "n_tokens", "begin").withColumn("block", F.floor(F.col("begin") / block_tokens).cast("long"))
