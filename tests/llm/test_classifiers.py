@@ -1,8 +1,9 @@
 import random
+import textwrap
 
 from pyspark.sql import functions as F
 
-from vistaframe.llm.licenses import license_scan
+from vistaframe.llm.licenses import TEMPLATES, license_scan
 from vistaframe.llm.quality import quality_scores
 
 DOCS = "doc_id long, text string, extra string"
@@ -62,6 +63,24 @@ def test_licenses(spark):
     assert [r["family"] for r in found if r["doc_id"] >= 50] == ["unknown"]
 
 
+def test_licenses_across_and_within_lines(spark):
+    """Notices wrapped at 72 columns, bare and as comments, and in the middle of one long line."""
+    r = random.Random(8)
+    prose = " ".join(r.choice("the river ran under a bridge and children of this town watched it with some joy".split()) for _ in range(600))
+    notices = {f: max(TEMPLATES[f], key=len) for f in ("mit", "bsd-3-clause", "gpl-3.0", "lgpl-3.0", "apache-2.0")}
+    rows, want = [], set()
+    for f, t in notices.items():
+        lines = textwrap.wrap(t, 72)
+        assert len(lines) > 1
+        for at, text in ((0, "\n".join(lines)), (2, "code\n/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */\nmore code"), (1, "x = 1\n" + "\n".join(f"# {x}" for x in lines)), (0, f"{prose} {t} {prose}")):
+            want.add((len(rows), at, f))
+            rows.append((len(rows), text, None))
+    rows.append((900, prose, None))
+    found = license_scan(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((x["doc_id"], x["paragraph"], x["family"]) for x in found) == sorted(want)
+    assert all(x["similarity"] >= 0.9 for x in found)
+
+
 def test_license_edges(spark):
     rows = [(1, None, None), (2, "", None), (None, LINES["mit"], None), (3, " ".join(f"word{i}" for i in range(50_000)) + "\n" + LINES["mit"], None), (4, LINES["mit"], "a"), (4, LINES["mit"], "a")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as family", "2 as paragraph")

@@ -133,11 +133,48 @@ def similarity(paragraph: str, family: str) -> float:
     return best
 
 
+class Windows:
+    """Places where enough of a template's word pairs come close together, whatever line breaks and marks lie between."""
+
+    def __init__(self, confirm: float, bits: int) -> None:
+        texts = [(k, t) for k, f in enumerate(FAMILIES) for t in TEMPLATES.get(f, OTHER)]
+        words = Words(pa.array([t for _, t in texts]))
+        at = words.bounds()
+        self.templates = [(k, b - a, np.unique(ngram_hash(words.hash[a:b], 2))) for (k, _), a, b in zip(texts, at[:-1], at[1:])]
+        self.mask, self.confirm = np.uint64((1 << bits) - 1), confirm
+        self.known = np.zeros(1 << bits, bool)
+        for *_, pairs in self.templates:
+            self.known[(pairs & self.mask).astype(np.int64)] = True
+
+    def of(self, words: Words) -> list[tuple[float, int, int, int, int]]:
+        """(share of the template's pairs, family, row, first word, end), the largest share first, then the longest; they may overlap."""
+        pair = ngram_hash(words.hash, 2)
+        pos = np.flatnonzero(self.known[(pair & self.mask).astype(np.int64)] & (words.row[:-1] == words.row[1:]))
+        pair, end_of, out = pair[pos], words.bounds()[1:], []
+        for k, length, pairs in self.templates:
+            code = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+            mine = pairs[code] == pair
+            at, code, need = pos[mine], code[mine], self.confirm * len(pairs)
+            row = words.row[at]
+            reach = np.minimum(at + length + length // 3 + 4, end_of[row])
+            stop = np.searchsorted(at, reach)
+            for i in np.flatnonzero(stop - np.arange(len(at)) >= need):
+                share = len(np.unique(code[i : stop[i]])) / len(pairs)
+                if share >= self.confirm:
+                    end = min(max(at[stop[i] - 1] + 2, at[i] + length), end_of[row[i]])
+                    out.append((share, k, int(row[i]), int(at[i]), int(end)))
+        return sorted(out, key=lambda x: (-x[0], x[3] - x[4], x[3], x[1]))
+
+
 def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5, confirm: float = 0.6, bits: int = BITS) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity): the paragraphs of docs that carry a licence notice.
 
-    A paragraph is a line; paragraph is its number from 0 on. Every line of every text is classified. A line
-    whose likeliest family is at least ``certain`` and has ``confirm`` of a template's word pairs is reported
+    A paragraph is a line, or the lines that a window of words touches; paragraph is the number of the first from 0
+    on. Every line of every text is classified, and so is every window in which ``confirm`` of a template's word
+    pairs lie within a third more words than the template has: notices wrapped over lines, with comment marks or
+    without, and those within a long line, which the whole line's other words would drown. A window is reported if
+    the model finds the template's family the likeliest and at least ``certain``, and none of its lines is already
+    reported under that family; lines that it touches aren't reported as unknown then. A line whose likeliest family is at least ``certain`` and has ``confirm`` of a template's word pairs is reported
     under that family; one that the model holds for a notice, but whose template doesn't confirm it, as unknown.
     ``sample_docs`` bounds the documents whose lines serve as examples of no licence. Null and empty texts have
     no lines to report, repeated rows report each, doc_id may be null, an empty table gives none. Of equally
@@ -147,6 +184,7 @@ def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5,
     lines = [p for r in some.selectExpr("substring(text, 1, 4000) t").collect() for p in r["t"].split("\n") if p.strip()]
     w, temperature = train(lines, bits)
     shared = docs.sparkSession.sparkContext.broadcast((w, np.abs(w[:-1]).sum(1) > 0, temperature))
+    windows = Windows(confirm, bits)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, used, heat = shared.value
@@ -171,23 +209,43 @@ def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5,
                 dot = np.stack([np.bincount(at, weight[feature, k], len(starts)) for k in range(kinds)], axis=1)
                 p = 1 / (1 + np.exp(-(dot / np.sqrt(np.maximum(n, 1))[:, None] + weight[-1]) / heat))
                 hit = np.flatnonzero(p.max(1) >= certain)
-                if not len(hit):
-                    continue
                 ids = part.column("doc_id")
                 row = np.searchsorted(off, starts[hit], side="right") - 1
-                first = np.searchsorted(starts, off[row])
                 found = []
-                for i, r, f in zip(hit, row, first):
+                for i, r in zip(hit, row):
                     stop = int(min(starts[i + 1] if i + 1 < len(starts) else len(data), off[r + 1]))
                     text = data[starts[i] : stop].tobytes().decode("utf-8", "replace")
                     k = int(p[i, :known].argmax())
                     like = similarity(text, FAMILIES[k])
                     sure = p[i, k] >= certain and like >= confirm
                     if sure:
-                        found.append((ids[int(r)].as_py(), int(i - f), FAMILIES[k], float(p[i, k]), like))
+                        found.append((int(r), int(i), k, float(p[i, k]), like))
                     elif p[i, known] >= certain or p[i, k] >= certain and like > 0.2:
-                        found.append((ids[int(r)].as_py(), int(i - f), "unknown", float(p[i].max()), like))
+                        found.append((int(r), int(i), known, float(p[i].max()), like))
+                reported: dict[int, set[int]] = {}
+                for _, i, k, *_ in found:
+                    reported.setdefault(i, set()).add(k)
+                taken: dict[int, list[tuple[int, int]]] = {}
+                named = set()
+                for like, k, r, begin, end in windows.of(words):
+                    if any(begin < e and b < end for b, e in taken.get(r, ())):
+                        continue
+                    x = np.concatenate(_features(words.hash[begin:end], bits))
+                    chance = 1 / (1 + np.exp(-(weight[x].sum(0) / np.sqrt(len(x)) + weight[-1]) / heat))
+                    if int(chance.argmax()) != k or chance[k] < certain:
+                        continue
+                    taken.setdefault(r, []).append((begin, end))
+                    lines = range(int(line[begin]), int(line[end - 1]) + 1)
+                    if k != known:
+                        named.update(lines)
+                    if not any(k in reported.get(i, ()) or k == known and i in reported for i in lines):
+                        found.append((r, lines[0], k, float(chance[k]), like))
+                        for i in lines:
+                            reported.setdefault(i, set()).add(k)
+                found = [x for x in found if x[2] != known or x[1] not in named]
                 if found:
+                    first = np.searchsorted(starts, off)
+                    found = [(ids[r].as_py(), i - int(first[r]), FAMILIES[k], chance, like) for r, i, k, chance, like in sorted(found)]
                     names = ["doc_id", "paragraph", "family", "probability", "similarity"]
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.float64()))], names)
 
