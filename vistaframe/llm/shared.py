@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -16,11 +17,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir. Unset, a local session gets a folder of its own; a cluster must set it."""
+    """The shared folder in spark.checkpoint.dir. Unset, a session in one process gets a folder of its own; all others must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
@@ -49,7 +50,7 @@ def maybe_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
     return F.broadcast(df) if rows <= limit else df
 
 
-def hex_range(hex_col, digits: int = 2):
+def hex_range(hex_col, digits: int = 3):
     """The first hexadecimal digits of a hash as a small number, for sub-ordering."""
     return F.conv(F.substring(hex_col, 1, digits), 16, 10).cast("int")
 
@@ -107,6 +108,42 @@ def steady(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def bucket_bits(spark: SparkSession) -> int:
-    """Binary digits of the number of buckets: about one for each shuffle partition, so that they grow with the input."""
-    return max(4, min(20, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+BUCKET_BYTES = 6 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of the files that a plain scan reads; only the driver's list of files is looked at."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def bucket_bits(df: DataFrame) -> int:
+    """Binary digits of the number of buckets: one for each BUCKET_BYTES that a plain scan reads, so that a bucket's share stays the same until 2**20 of them."""
+    return max(4, min(20, (-(-input_bytes(df) // BUCKET_BYTES)).bit_length()))
+
+
+def slot_count(df: DataFrame) -> int:
+    """Number of folders for what the pieces of a plain scan are told: about one for each of its tasks."""
+    return max(16, min(1 << 16, df._jdf.queryExecution().toRdd().getNumPartitions()))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the letter case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of unique numbers that aren't null, and its name: the doc_ids, if they are such themselves.
+
+    Else a copy with numbers in the order of doc_id (nulls first) and a hash of the text goes to the shared folder.
+    """
+    name = free_name(docs, "_key")
+    n = docs.agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("d")).first()
+    if n["rows"] == n["ids"] == n["d"]:
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    path = fresh_path(docs.sparkSession, "keyed")
+    docs.orderBy("doc_id", F.xxhash64("text")).withColumn(name, F.monotonically_increasing_id()).write.parquet(path)
+    return docs.sparkSession.read.parquet(path), name

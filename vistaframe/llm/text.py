@@ -1,7 +1,7 @@
 """Vectorised word access to Arrow text columns.
 
 A word is a longest run of ASCII letters and digits and of non-ASCII characters;
-ASCII and Latin-1 letters are folded to lower case. Everything works on the raw
+letters of all scripts are folded to lower case. Everything works on the raw
 UTF-8 buffer of a whole Arrow chunk at once: one prefix sum of byte values times
 powers of an odd constant gives the 64-bit hash of every word (multiplied by the
 inverse power of its start), so no Python code runs per document or word.
@@ -52,6 +52,8 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def release() -> None:
     """Gives freed memory back to the system; workers live on, and what they hold counts for the executor."""
+    if len(_tables.get("up", ())) > 4 * CHUNK_BYTES:  # grown for one long text
+        _tables.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -77,15 +79,35 @@ def hash_str(s: str) -> int:
     return h
 
 
+def _lower(column: pa.Array) -> pa.Array:
+    """Lower case where letters beyond ASCII and Latin-1 (lead bytes from 0xC4 on) occur; the others are folded byte by byte later."""
+    held = column.buffers()[2]
+    if held is None or not len(column):
+        return column
+    off = np.frombuffer(column.buffers()[1], np.int64)[[column.offset, column.offset + len(column)]]
+    if (np.frombuffer(held, np.uint8)[off[0] : off[1]] >= 0xC4).any():
+        try:
+            return pc.utf8_lower(column)
+        except pa.ArrowInvalid:  # not UTF-8
+            pass
+    return column
+
+
 class Words:
-    """Words of a chunk: hash, row, and byte span within ``data`` (row offsets in ``off``). Raw words are what white space parts, unfolded."""
+    """Words of a chunk: hash, row, and byte span within ``data`` (row offsets in ``off``).
+
+    Raw words are what white space parts, unfolded. Without ``fold`` case is kept, and byte spans are those of the
+    text as it is; the words are the same in number and place, as lower case never adds or ends one.
+    """
 
     __slots__ = ("data", "end", "hash", "off", "row", "rows", "start")
 
-    def __init__(self, column: pa.Array, raw: bool = False) -> None:
+    def __init__(self, column: pa.Array, raw: bool = False, fold: bool = True) -> None:
         column = pc.fill_null(column.cast(pa.large_string()), "")
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
+        if fold and not raw:
+            column = _lower(column)
         self.rows = n_rows = len(column)
         off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n_rows + 1]
         held = column.buffers()[2]
@@ -97,7 +119,7 @@ class Words:
             self.hash, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
             return
         low = data
-        if not raw:
+        if fold and not raw:
             low = _fold[data]
             latin = np.flatnonzero(data[:-1] == 0xC3) + 1
             latin = latin[(data[latin] >= 0x80) & (data[latin] <= 0x9E) & (data[latin] != 0x97)]
