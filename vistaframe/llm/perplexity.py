@@ -20,14 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.shared import bucket_bits, cut, fresh_path, maybe_broadcast, steady, steady_splits
+from vistaframe.llm.shared import bucket_bits, cut, fresh_path, maybe_broadcast, slot_count, steady, steady_splits
 from vistaframe.llm.text import Words, chunks, hash_str, mix, pack, release, unpack
 
 WIDTH = 48
 _MASK = np.uint64((1 << WIDTH) - 1)
 BEGIN = np.uint64(hash_str("<begin>") & (1 << WIDTH) - 1)
 PIECE_BYTES = 10 << 20
-SLOTS = 2048
 SPARE = 34
 
 
@@ -154,30 +153,31 @@ def _count_pairs(table: pa.Table) -> pa.Table:
 class Answers:
     """What the buckets have told the pieces, in files by slot."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, slots: int) -> None:
         self.fs, self.root = pyarrow.fs.FileSystem.from_uri(path)
+        self.slots = slots
 
     def of(self, number: int) -> dict[str, list[dict]]:
-        rows = pyarrow.parquet.read_table(f"{self.root}/slot={(number >> 20) % SLOTS}", filesystem=self.fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
+        rows = pyarrow.parquet.read_table(f"{self.root}/slot={(number >> 20) % self.slots}", filesystem=self.fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
         out: dict[str, list[dict]] = {}
         for r in sorted(rows, key=lambda r: r["bucket"]):
             out.setdefault(r["lang"], []).append(r)
         return out
 
 
-def _told(df: DataFrame, name: str) -> str:
+def _told(df: DataFrame, name: str, slots: int) -> str:
     """Writes answers for the pieces and returns where; those for piece -1 are in slot -1."""
     path = fresh_path(df.sparkSession, name)
-    slot = F.when(F.col("piece") < 0, -1).otherwise(F.pmod(F.shiftright("piece", 20), F.lit(SLOTS))).cast("int")
+    slot = F.when(F.col("piece") < 0, -1).otherwise(F.pmod(F.shiftright("piece", 20), F.lit(slots))).cast("int")
     df.withColumn("slot", slot).repartition("slot").sortWithinPartitions("slot", "piece").write.partitionBy("slot").option("parquet.block.size", 4 << 20).parquet(path)
     return path
 
 
-def _ask_words(path: str, bits: int, limit: int):
+def _ask_words(path: str, slots: int, bits: int, limit: int):
     """What a piece's words gain from its tokens (their count as contexts) and from the bigrams that it owns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = Answers(path)
+        answers = Answers(path, slots)
         for number, piece in pieces(batches, limit):
             said, rows = answers.of(number), []
             for lang, (known, pair, _) in piece.tables.items():
@@ -217,8 +217,12 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(float(min(max(x, 0.05), i)) for i, x in enumerate(d, 1))
 
 
-def _costs(row, code, pairs, total, ctx, follow, stat, rows: int) -> np.ndarray:
-    """The summed -log p of each row's bigrams, the row's own counts left out of the model that judges it."""
+#: Weight of a document's own bigrams in the adapted score.
+OWN = 0.75
+
+
+def _costs(row, code, pairs, total, ctx, follow, stat, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The summed -log p of each row's bigrams, the row's own counts left out of the model that judges it; and the same where the row's other bigrams take the place of the corpus's."""
     types, d1, d2, d3 = stat
     before, after = pairs
     n_pairs, n_words = len(total), len(ctx)
@@ -227,22 +231,24 @@ def _costs(row, code, pairs, total, ctx, follow, stat, rows: int) -> np.ndarray:
     v, w = before[k], after[k]
     left = total[k] - own
     _, at = np.unique(r * n_words + v, return_inverse=True)
-    context = ctx[v, 0] - np.bincount(at, own)[at]
+    mine = np.bincount(at, own)[at]
+    context = ctx[v, 0] - mine
     _, at = np.unique(r * n_words + w, return_inverse=True)
     kinds = follow[w] - np.bincount(at, left == 0)[at]
     lower = np.where(kinds > 0, kinds, 0.5) / types
     off = np.where(left == 1, d1, np.where(left == 2, d2, d3))
     back = (ctx[v, 1:] @ np.array([d1, d2, d3])) / ctx[v, 0]
     p = np.where(context > 0, np.maximum(left - off, 0) / np.maximum(context, 1) + back * lower, lower)
-    return np.bincount(r, -np.log(p) * own, rows)
+    adapted = OWN * (own - 1) / np.maximum(mine - 1, 1) + (1 - OWN) * lower
+    return np.bincount(r, -np.log(p) * own, rows), np.bincount(r, -np.log(adapted) * own, rows)
 
 
-def _score(pair_path: str, word_path: str, model, bits: int, limit: int):
+def _score(pair_path: str, word_path: str, slots: int, model, bits: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stats, of_pairs, of_words = model.value, Answers(pair_path), Answers(word_path)
+        stats, of_pairs, of_words = model.value, Answers(pair_path, slots), Answers(word_path, slots)
         for number, piece in pieces(batches, limit):
             about_pairs, about_words = of_pairs.of(number), of_words.of(number)
-            cost = np.zeros(len(piece.ids))
+            cost = np.zeros((2, len(piece.ids)))
             for lang, (known, pair, row) in piece.tables.items():
                 if not len(pair):
                     continue
@@ -252,37 +258,40 @@ def _score(pair_path: str, word_path: str, model, bits: int, limit: int):
                 cost += _costs(row, code, (before, after), total, sums[:4].T, sums[4], stats[lang], len(piece.ids))
             n = piece.n
             yield pa.RecordBatch.from_arrays(
-                [piece.ids, pa.array([piece.langs[k] for k in piece.lang], pa.string()), pa.array(n, pa.int64()), pa.array(cost / np.maximum(n, 1), mask=n == 0)],
-                ["doc_id", "lang", "n_words", "log_perplexity"],
+                [piece.ids, pa.array([piece.langs[k] for k in piece.lang], pa.string()), pa.array(n, pa.int64()), *(pa.array(c / np.maximum(n, 1), mask=n == 0) for c in cost)],
+                ["doc_id", "lang", "n_words", "log_perplexity", "log_adapted"],
             )
 
     return run
 
 
 def log_perplexities(docs: DataFrame, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity) for every row under the model of its language.
+    """(doc_id, lang, n_words, log_perplexity, log_adapted) for every row under the model of its language.
 
     A document is a begin mark and its words, here what white space parts, as written; each word counts, whole
     texts are read. A document is judged by the others: its own counts are taken off those of its bigrams,
     contexts and continuations (a context's discounts stay as they are), and a word that no other document has
-    counts as half a continuation. Texts that are null or have no word get a null. Null languages are a language of the empty name. Repeated rows count each time and
+    counts as half a continuation. In the adapted score a bigram's probability is that among the document's own
+    other bigrams with the same first word, with weight 0.75, and that of its word as a continuation in the corpus,
+    with the rest; copies in other documents don't change it. Texts that are null or have no word get a null. Null languages are a language of the empty name. Repeated rows count each time and
     score alike; doc_id may be null; other columns are not read; an empty table gives none. Documents that
     don't come straight from files are first written to the shared folder, so that all readings see the same.
     """
     spark = docs.sparkSession
     base = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     with steady_splits(spark):
-        base, schema = steady(base), "doc_id long, lang string, n_words long, log_perplexity double"
+        base, schema = steady(base), "doc_id long, lang string, n_words long, log_perplexity double, log_adapted double"
         if not base.where("text rlike '\\\\S'").take(1):
-            return base.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("double").alias("log_perplexity"))
-        bits = bucket_bits(spark)
+            none = F.lit(None).cast("double")
+            return base.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.lit(0).cast("long").alias("n_words"), none.alias("log_perplexity"), none.alias("log_adapted"))
+        bits, slots = bucket_bits(base), slot_count(base)
         asked = base.mapInArrow(_ask_pairs(bits, piece_bytes), _ASK)
-        pair_path = _told(asked.groupBy("lang", "bucket").applyInArrow(_count_pairs, _SAID), "pairs")
+        pair_path = _told(asked.groupBy("lang", "bucket").applyInArrow(_count_pairs, _SAID), "pairs", slots)
         sums = spark.read.parquet(f"{pair_path}/slot=-1").groupBy("lang").agg(*[F.sum(F.col("stats")[i]).alias(f"n{i}") for i in range(5)]).collect()
         stats = {r["lang"]: (float(r["n0"]), *discounts(*(r[f"n{i}"] for i in range(1, 5)))) for r in sums}
-        words = base.mapInArrow(_ask_words(pair_path, bits, piece_bytes), _ASK)
-        word_path = _told(words.groupBy("lang", "bucket").applyInArrow(_count_words, _SAID), "words")
-        return cut(base.mapInArrow(_score(pair_path, word_path, spark.sparkContext.broadcast(stats), bits, piece_bytes), schema))
+        words = base.mapInArrow(_ask_words(pair_path, slots, bits, piece_bytes), _ASK)
+        word_path = _told(words.groupBy("lang", "bucket").applyInArrow(_count_words, _SAID), "words", slots)
+        return cut(base.mapInArrow(_score(pair_path, word_path, slots, spark.sparkContext.broadcast(stats), bits, piece_bytes), schema))
 
 
 def _median(found: list[tuple[int, int]]) -> float:
@@ -291,40 +300,42 @@ def _median(found: list[tuple[int, int]]) -> float:
     return float(found[int(np.searchsorted(total, total[-1] / 2))][0])
 
 
-def bands(scores: DataFrame, below: float, above: float, step: float = 0.002) -> DataFrame:
-    """(lang, middle, low, high): the median of log perplexity, less ``below`` and plus ``above`` median deviations.
+def bands(scores: DataFrame, below: float, above: float, step: float = 0.002, least: float = 0.05) -> DataFrame:
+    """(lang, middle, high, middle_adapted, low): the median of log perplexity plus ``above`` median deviations, and the median of the adapted one less ``below`` median deviations of its lower half.
 
-    Scores are taken in steps of 0.002, so that counts of steps are all that reaches the driver.
+    Deviations are ``least`` at least. Scores are taken in steps of 0.002, so that counts of steps are all that reaches the driver.
     """
-    at = F.round(F.col("log_perplexity") / step).cast("long")
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in scores.where("log_perplexity is not null").groupBy("lang", at.alias("at")).count().collect():
-        found.setdefault(r["lang"], []).append((r["at"], r["count"]))
+    kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.round(F.col(c) / step).cast("long").alias("at")) for c in ("log_perplexity", "log_adapted"))))
+    found: dict[str, dict[str, list[tuple[int, int]]]] = {}
+    for r in scores.where("log_perplexity is not null").select("lang", kinds.alias("x")).groupBy("lang", "x.kind", "x.at").count().collect():
+        found.setdefault(r["lang"], {}).setdefault(r["kind"], []).append((r["at"], r["count"]))
     rows = []
-    for lang, counts in found.items():
-        middle = _median(counts)
-        off = max(1.0, _median([(abs(x - middle), c) for x, c in counts]))
-        rows.append((lang, middle * step, (middle - below * off) * step, (middle + above * off) * step))
-    return scores.sparkSession.createDataFrame(rows, "lang string, middle double, low double, high double")
-
-
-def perplexity_rules(docs: DataFrame, below: float = 16.0, above: float = 6.0, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(doc_id, lang, n_words, log_perplexity, low, high, keep) for every row.
-
-    keep says whether the log perplexity lies within the band of its language (see ``bands``), the bounds
-    included; a document without words is not kept. A short document strays more than a long one, so its band is
-    wider by the square root of 1 + 50 / words. The lower bound lies far out on purpose: text that other documents
-    copy is foreseeable without being bad, and is the duplicate stages' business. See ``log_perplexities`` for nulls, repeats and empty tables.
+    for lang, of in found.items():
+        middle, own = _median(of["log_perplexity"]), _median(of["log_adapted"])
+        off = max(least / step, _median([(abs(x - middle), c) for x, c in of["log_perplexity"]]))
+        lower = max(least / step, _median([(own - x, c) for x, c in of["log_adapted"] if x <= own]))
+        rows.append((lang, middle * step, (middle + above * off) * step, own * step, (own - below * lower) * step))
+    return scores.sparkSession.createDataFrame(rows, "lang string, middle double, high double, middle_adapted double, low double")
+
+
+def perplexity_rules(docs: DataFrame, below: float = 12.0, above: float = 6.0, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(doc_id, lang, n_words, log_perplexity, log_adapted, low, high, keep) for every row.
+
+    keep says whether the log perplexity is at most ``high`` and the adapted one at least ``low``, the bounds of its
+    language (see ``bands``); a document without words is not kept. A short document strays more than a long one, so
+    its band is wider by the square root of 1 + 50 / words. The lower bound looks at the adapted score, as text that
+    others copy is foreseeable without being bad, and is the duplicate stages' business; text that repeats itself is
+    foreseeable from itself. See ``log_perplexities`` for nulls, repeats and empty tables.
     """
     scores = log_perplexities(docs, piece_bytes)
     limits = bands(scores, below, above)
     both = scores.join(maybe_broadcast(limits, limits.count()), "lang", "left")
-    wider = F.sqrt(1 + F.lit(50.0) / F.col("n_words"))
-    low = F.col("middle") - (F.col("middle") - F.col("low")) * wider
+    wider = F.when(F.col("n_words") > 0, F.sqrt(1 + F.lit(50.0) / F.col("n_words")))
+    low = F.col("middle_adapted") - (F.col("middle_adapted") - F.col("low")) * wider
     high = F.col("middle") + (F.col("high") - F.col("middle")) * wider
-    both = both.withColumn("low", F.when(F.col("n_words") > 0, low)).withColumn("high", F.when(F.col("n_words") > 0, high))
-    keep = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return both.select("doc_id", "lang", "n_words", "log_perplexity", "low", "high", keep.alias("keep"))
+    both = both.withColumn("low", low).withColumn("high", high)
+    keep = F.coalesce((F.col("log_perplexity") <= F.col("high")) & (F.col("log_adapted") >= F.col("low")), F.lit(False))
+    return both.select("doc_id", "lang", "n_words", "log_perplexity", "log_adapted", "low", "high", keep.alias("keep"))
 
 
 def op7_perplexity(spark, sf_dir: str) -> DataFrame:
