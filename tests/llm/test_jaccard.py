@@ -4,7 +4,7 @@ from itertools import combinations
 
 import pytest
 
-from vistaframe.llm.jaccard import groups, jaccard_join
+from vistaframe.llm.jaccard import groups, jaccard_join, similar_documents
 
 SCHEMA = "doc_id long, text string, source string"
 
@@ -28,13 +28,29 @@ def brute_force(rows, n, threshold):
     for (x, xs), (y, ys) in combinations(sets.items(), 2):
         j = len(x & y) / len(x | y)
         if j >= threshold:
-            for i in xs:
-                add(i, min(ys), j)
-            for i in ys:
-                add(i, min(xs), j)
+            add(min(xs), min(ys), j)
     return out
 
 
+def brute_classes(rows, n, threshold):
+    """(class, links) of each document, every pair of texts compared."""
+    sets = {}
+    for i, text, *_ in rows:
+        w = re.findall("[a-z0-9\x80-\U0010ffff]+", (text or "").lower())
+        if i is not None:
+            sets.setdefault(i, set()).add(frozenset(tuple(w[j : j + n]) for j in range(max(1, len(w) - n + 1))) if w else frozenset())
+    entries = [(i, g) for i, gs in sets.items() for g in gs if g]
+    label, links = {i: i for i in sets}, dict.fromkeys(sets, 0)
+    near = [(i, k) for (i, x), (k, y) in combinations(entries, 2) if len(x & y) / len(x | y) >= threshold]
+    for i, k in near:
+        links[i] += 1
+        links[k] += 1
+    for _ in sets:
+        for i, k in near:
+            label[i] = label[k] = min(label[i], label[k])
+    return {i: (label[i], links[i]) for i in sets}
+
+
 def corpus(seed):
     """Groups of near copies of several sizes, some larger than any hot limit, and a passage that many texts share."""
     r = random.Random(seed)
@@ -61,12 +77,29 @@ def test_brute_force(spark, seed, hot, threshold):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in got)
 
 
+@pytest.mark.parametrize(("seed", "hot", "threshold"), [(1, 64, 0.5), (2, 3, 0.4)])
+def test_classes(spark, seed, hot, threshold):
+    rows = corpus(seed)
+    rows += [(None, rows[5][1], "s"), (5, rows[9][1], "s"), (5, rows[5][1], "s"), (900, None, None), (901, " ", "s")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(spark.createDataFrame(rows, SCHEMA), threshold=threshold, hot=hot, piece_bytes=3000).collect()}
+    assert got == brute_classes(rows, 5, threshold)
+
+
+@pytest.mark.parametrize("text", ["Съешь же ещё этих мягких французских булок", "ΞΕΣΚΕΠΑΖΩ τὴν ψυχοφθόρα βδελυγμία ναί", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Ça où Éléphant naïve cœur Ÿ"])
+def test_letter_case_of_other_scripts(spark, text):
+    rows = [(1, text, "s"), (2, text.upper(), "s"), (3, text.lower(), "s"), (4, "something else of five words", "s")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0)}
+
+
 def test_edges(spark):
     long_text = " ".join(f"w{i}" for i in range(60_000))
     rows = [(1, None, None), (2, "", "s"), (3, "!!", "s"), (4, "one two", "s"), (5, "One, two.", "s"), (6, long_text, "s"), (7, long_text + " end", "s"), (None, "one two", "s"), (4, "one two", "s"), (8, "one", "s"), (9, "two one", "s")]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as sig", "2 as uid", "3 as bucket")
     assert sorted((r["doc_a"], r["doc_b"]) for r in jaccard_join(df).collect()) == [(4, 5), (6, 7)]
-    assert jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert jaccard_join(spark.createDataFrame([], SCHEMA)).collect() == [] and similar_documents(spark.createDataFrame([], SCHEMA)).collect() == []
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(df.selectExpr("*", "4 as rep", "5 as n")).collect()}
+    assert found == {1: (1, 0), 2: (2, 0), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 1), 7: (6, 1), 8: (8, 0), 9: (9, 0)}
     # one id with several texts: each is compared, none with itself
     several = [(1, "a b c d e f", None), (1, "u v w x y z", None), (2, "a b c d e f", None), (3, "u v w x y z", None)]
     assert sorted((r["doc_a"], r["doc_b"]) for r in jaccard_join(spark.createDataFrame(several, SCHEMA)).collect()) == [(1, 2), (1, 3)]

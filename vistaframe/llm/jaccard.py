@@ -386,21 +386,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
-    """(doc_a, doc_b, jaccard), doc_a < doc_b: documents whose sets of word n-grams overlap by ``threshold`` or more.
-
-    Documents with equal sets are one set, whose representative is the smallest doc_id. Each document is paired with
-    the representative of every set similar to its own, its own included, which names all similar pairs without
-    listing those within and between groups of copies one by one; there is no limit on partners.
-    A text of fewer than n words has one n-gram, of all its words; null and empty texts, and texts without a word,
-    have none and no partner. Rows with a null doc_id can't be named and are left out of the result; rows that share
-    a doc_id aren't paired with each other, and a row repeated as a whole changes nothing. Texts of any length count
-    whole; an empty table gives none; other columns are not read.
-    """
+def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, pairs): each doc_id with each set of n-grams that it has, as (doc_id, sig, rep, n_ids), rep the smallest doc_id of the set and n_ids their number; and the pairs of similar sets, as (sig_a, sig_b, rep_a, rep_b, n_a, n_b, jaccard)."""
     spark = docs.sparkSession
     with steady_splits(spark):
         base = steady(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-        bits = bucket_bits(spark)
+        bits = bucket_bits(base)
         pieces = base.mapInArrow(_cut_up(bits, n, piece_bytes), _SENT)
         counted = pieces.groupBy("bucket").applyInArrow(_fragment_counts(hot), _SENT)
         # what is left is so much less that fewer fragments do, and a pair's overlap comes in fewer parts
@@ -409,28 +400,57 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int =
     pairs = cut(parts.groupBy("shard").applyInArrow(_summed(threshold), _PAIRS))
     enough = lambda o: o / (F.col("size_a") + F.col("size_b") - o) >= threshold
     listed = left.where("bucket < 0").select("ids", "uids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, uid long, sig long, hot array<long>")
-    sets = listed.groupBy("sig").agg(F.min("uid").alias("uid"), F.first("hot").alias("hot"))
     open_pairs = pairs.where("more > 0").drop("more")
-    hot_a, hot_b = sets.select(F.col("uid").alias("a"), F.col("hot").alias("x")), sets.select(F.col("uid").alias("b"), F.col("hot").alias("y"))
+    # copies are in all fragments together, so the pairs name a set by the least number of its documents
+    grams = listed.groupBy("uid").agg(F.first("hot").alias("hot"))
+    hot_a, hot_b = grams.select(F.col("uid").alias("a"), F.col("hot").alias("x")), grams.select(F.col("uid").alias("b"), F.col("hot").alias("y"))
     summed = open_pairs.join(hot_a, "a").join(hot_b, "b").withColumn("n", F.col("n") + F.size(F.array_intersect("x", "y")))
     final = pairs.where("more = 0").drop("more").unionByName(summed.select(open_pairs.columns)).where(enough(F.col("n")))
     final = final.select("a", "b", (F.col("n") / (F.col("size_a") + F.col("size_b") - F.col("n"))).alias("jaccard"))
-    named = listed.groupBy("sig").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep"), F.collect_set("doc_id").alias("ids"))
-    named = cut(named.where("rep is not null").select("uid", "rep", F.array_remove("ids", F.col("rep")).alias("copies"), F.size("ids").alias("n_ids")))
-    reps = named.select("uid", "rep")
-    size = named.agg(F.count(F.lit(1)).alias("sets"), F.sum("n_ids").alias("ids")).first()
-    reps = maybe_broadcast(reps, size["sets"])
-    pair = final.join(reps.select(F.col("uid").alias("a"), F.col("rep").alias("rep_a")), "a").join(reps.select(F.col("uid").alias("b"), F.col("rep").alias("rep_b")), "b")
-    copied = named.where("size(copies) > 0").select("uid", "rep", F.explode("copies").alias("doc_id"))
-    copies = maybe_broadcast(copied, (size["ids"] or 0) - size["sets"]).select("uid", "doc_id")
-    of_a = pair.join(copies.withColumnRenamed("uid", "a"), "a").select("doc_id", F.col("rep_b").alias("rep"), "jaccard")
-    of_b = pair.join(copies.withColumnRenamed("uid", "b"), "b").select("doc_id", F.col("rep_a").alias("rep"), "jaccard")
-    own = copied.select("doc_id", "rep", F.lit(1.0).alias("jaccard"))
-    found = pair.select(F.col("rep_a").alias("doc_id"), F.col("rep_b").alias("rep"), "jaccard").unionByName(of_a).unionByName(of_b).unionByName(own).where("doc_id != rep")
+    once = cut(listed.groupBy("sig", "doc_id").agg(F.min("uid").alias("uid")))
+    sets = cut(once.groupBy("sig").agg(F.min("uid").alias("uid"), F.min("doc_id").alias("rep"), F.count("doc_id").alias("n_ids")).where("rep is not null"))
+    of = maybe_broadcast(sets, sets.count())
+    side = lambda x: of.select(F.col("uid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("n_ids").alias(f"n_{x}"))
+    pair = cut(final.join(side("a"), "a").join(side("b"), "b").select("sig_a", "sig_b", "rep_a", "rep_b", "n_a", "n_b", "jaccard"))
+    return once.where("doc_id is not null").select("doc_id", "sig").join(of.select("sig", "rep", "n_ids"), "sig").select("doc_id", "sig", "rep", "n_ids"), pair
+
+
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(doc_a, doc_b, jaccard), doc_a < doc_b: the pairs of documents whose sets of word n-grams overlap by ``threshold`` or more, copies as a class.
+
+    Documents with equal sets are a class, whose representative is the smallest doc_id. Listed are all similar pairs
+    of representatives, and each other member with its own representative (jaccard 1), which names every link without
+    listing those within and between groups of copies one by one; there is no limit on partners.
+    Letter case of all scripts is folded. A text of fewer than n words has one n-gram, of all its words; null and empty texts, and texts without a word,
+    have none and no partner. Rows with a null doc_id can't be named and are left out of the result; rows that share
+    a doc_id aren't paired with each other, and a row repeated as a whole changes nothing. Texts of any length count
+    whole; an empty table gives none; other columns are not read.
+    """
+    entries, pairs = _similar(docs, n, threshold, hot, piece_bytes)
+    own = entries.select("doc_id", "rep", F.lit(1.0).alias("jaccard"))
+    found = pairs.select(F.col("rep_a").alias("doc_id"), F.col("rep_b").alias("rep"), "jaccard").unionByName(own).where("doc_id != rep")
     found = found.select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), "jaccard")
-    # only a doc_id with several texts can give a pair twice
-    ids = named.select(F.explode(F.concat(F.array("rep"), "copies")).alias("doc_id")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    return found if ids["n"] == ids["d"] else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    # a doc_id with several texts can give a pair twice
+    return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(doc_id, class_id, n_links): one row for each doc_id that isn't null.
+
+    A link is a pair of documents whose sets of word n-grams overlap by ``threshold`` or more. class_id is the smallest
+    doc_id that links lead to, the document's own if it has none. n_links counts the document's links, copies one by
+    one although no pairs of copies are listed anywhere: each similar set counts with the number of its documents. A
+    doc_id with several texts has the links of all of them, those between them too. See ``jaccard_join`` for the rest.
+    """
+    entries, pairs = _similar(docs, n, threshold, hot, piece_bytes)
+    gained = pairs.select(F.col("sig_a").alias("sig"), F.col("n_b").alias("n")).unionByName(pairs.select(F.col("sig_b").alias("sig"), F.col("n_a").alias("n")))
+    gained = gained.groupBy("sig").agg(F.sum("n").alias("n"))
+    links = entries.join(gained, "sig", "left").select("doc_id", (F.col("n_ids") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.lit(None).cast("long").alias("first"))
+    edges = pairs.select(F.col("rep_a").alias("doc_a"), F.col("rep_b").alias("doc_b")).unionByName(entries.where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    classes = groups(edges).select("doc_id", F.lit(0).cast("long").alias("n"), "first")
+    every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"))
+    rows = every.unionByName(links).unionByName(classes).groupBy("doc_id").agg(F.sum("n").alias("n_links"), F.min("first").alias("first"))
+    return rows.select("doc_id", F.coalesce("first", "doc_id").alias("class_id"), "n_links")
 
 
 def groups(pairs: DataFrame) -> DataFrame:
@@ -457,15 +477,20 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def op2_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def sql(n: int = 5, threshold: float = 0.5, source: str = "documents") -> str:
-    return f"""with w as (select row_number() over () as r, doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') as w from {source}),
+    return f"""with recursive w as (select row_number() over () as r, doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') as w from {source}),
 g as (select distinct r, doc_id, unnest(list_transform(range(greatest(len(w) - {n} + 1, 1)), lambda i: array_to_string(w[i + 1 : i + {n}], ' '))) as g from w where len(w) > 0),
 s as (select r, any_value(doc_id) as doc_id, count(*) as size, md5(string_agg(g, '|' order by g)) as sig from g group by r),
-reps as (select sig, min(r) as r, min(doc_id) as rep, any_value(size) as size from s group by sig having min(doc_id) is not null),
-o as (select x.r as a, y.r as b, count(*) as n from g x join g y on x.g = y.g and x.r < y.r where x.r in (select r from reps) and y.r in (select r from reps) group by 1, 2),
-j as (select ra.sig as a, rb.sig as b, n / (ra.size + rb.size - n) as jaccard from o join reps ra on ra.r = o.a join reps rb on rb.r = o.b where n / (ra.size + rb.size - n) >= {threshold}),
-e as (select a, b, jaccard from j union all select b, a, jaccard from j union all select sig, sig, 1.0 from reps)
-select least(s.doc_id, rep) as doc_a, greatest(s.doc_id, rep) as doc_b, max(jaccard) as jaccard from e join s on s.sig = e.a join reps on reps.sig = e.b where s.doc_id != rep group by 1, 2"""
+sets as (select sig, min(r) as r, min(doc_id) as rep, any_value(size) as size, count(distinct doc_id) as n_ids from s group by sig having min(doc_id) is not null),
+o as (select x.r as a, y.r as b, count(*) as n from g x join g y on x.g = y.g and x.r < y.r where x.r in (select r from sets) and y.r in (select r from sets) group by 1, 2),
+j as (select a.sig as a, b.sig as b, a.rep as rep_a, b.rep as rep_b, b.n_ids as n from o join sets a on a.r = o.a join sets b on b.r = o.b where n / (a.size + b.size - n) >= {threshold}
+  union all select b.sig, a.sig, b.rep, a.rep, a.n_ids from o join sets a on a.r = o.a join sets b on b.r = o.b where n / (a.size + b.size - n) >= {threshold}),
+entry as (select distinct s.doc_id, sig, rep, n_ids from s join sets using (sig) where s.doc_id is not null),
+links as (select doc_id, sum(n_ids - 1 + coalesce(more.n, 0)) as n from entry left join (select a as sig, sum(n) as n from j group by 1) more using (sig) group by 1),
+edge as (select distinct x, y from (select rep_a as x, rep_b as y from j union all select doc_id, rep from entry union all select rep, doc_id from entry) where x != y),
+reach as (select distinct x as doc_id, x as y from edge union select reach.doc_id, edge.y from reach join edge on edge.x = reach.y)
+select d.doc_id, coalesce(c.first, d.doc_id) as class_id, coalesce(links.n, 0)::bigint as n_links from (select distinct doc_id from {source} where doc_id is not null) d
+left join (select doc_id, min(y) as first from reach group by 1) c using (doc_id) left join links using (doc_id)"""
