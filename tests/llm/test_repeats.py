@@ -77,7 +77,17 @@ def test_drop(spark):
     rows = [(1, f"Start. {passage} end.", "en", 1), (2, f"Other words,\n {passage}! And more.", "en", 1), (3, passage, "en", 1), (4, None, None, None), (5, "", "en", 0), (None, passage, "en", 1), (6, "clean text", "en", 1), (7, f"x {passage}", "a", 1), (7, f"y {passage}", "a", 1)]
     got = {(r["doc_id"], r["text"]) for r in drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     # the row without an id comes first and keeps the passage
-    assert got == {(1, "Start. end."), (2, "Other words,\n And more."), (4, None), (5, ""), (None, passage), (6, "clean text"), (7, f"x {passage}"), (7, f"y {passage}")}
+    assert got == {(1, "Start. end."), (2, "Other words,\n And more."), (4, None), (5, ""), (None, passage), (6, "clean text"), (7, "x "), (7, "y ")}
+    # rows of one id count by themselves, of rows equal throughout one stays; a column of any name is kept
+    twice = [(7, f"x {passage}", "a", 1), (7, f"y {passage.upper()}", "a", 1), (8, f"z {passage}", "a", 1), (8, f"z {passage}", "a", 1)]
+    found = drop_repeats(spark.createDataFrame(twice, SCHEMA).selectExpr("*", "5 as spans", "6 as _key", "7 as _of")).collect()
+    assert sorted(r["text"] for r in found) in ([f"x {passage}", "y ", "z "], ["x ", f"y {passage.upper()}", "z "]) and {(r["spans"], r["_key"], r["_of"]) for r in found} == {(5, 6, 7)}
+
+
+def test_letter_case_of_other_scripts(spark):
+    passage = " ".join(f"слово{i}ж" for i in range(60))
+    found = drop_repeats(spark.createDataFrame([(1, f"А {passage}", "ru", 1), (2, f"Б Ⱥ {passage.upper()} конец", "ru", 1)], SCHEMA)).collect()
+    assert sorted(r["text"] for r in found) == [f"А {passage}", "Б Ⱥ конец"]
 
 
 def test_edges(spark):

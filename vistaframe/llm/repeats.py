@@ -20,12 +20,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vistaframe.llm.shared import bucket_bits, cut, fresh_path, steady, steady_splits
+from vistaframe.llm.shared import bucket_bits, cut, free_name, fresh_path, keyed, slot_count, steady, steady_splits
 from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, release, unpack
 
 WIDTH = 48
 PIECE_BYTES = 10 << 20
-SLOTS = 2048
 SYMBOL = np.uint64((1 << 32) - 1)
 
 
@@ -121,7 +120,7 @@ SUB_BITS = 4
 _AROUND = "bucket int, piece long, ids array<long>, rows binary, words binary, starts binary, subs binary, lengths binary, symbols binary"
 
 
-def _send(path: str, bits: int, k: int, min_words: int, limit: int):
+def _send(path: str, slots: int, bits: int, k: int, min_words: int, limit: int):
     """The second reading: for each repeated key the words around its anchor, as far as its windows go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +129,7 @@ def _send(path: str, bits: int, k: int, min_words: int, limit: int):
             cuts = piece.buckets(bits)
             if not len(piece.key):
                 continue
-            said = pyarrow.parquet.read_table(f"{root}/slot={(number >> 20) % SLOTS}", filesystem=fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
+            said = pyarrow.parquet.read_table(f"{root}/slot={(number >> 20) % slots}", filesystem=fs, filters=[("piece", "=", number)], partitioning=None).to_pylist()
             more = np.zeros(len(piece.key), bool)
             for r in said:
                 a, b = cuts[r["bucket"]], cuts[r["bucket"] + 1]
@@ -362,44 +361,51 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, piece_bytes: int = P
     spark, k = docs.sparkSession, min_words // 5
     with steady_splits(spark):
         base = steady(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-        bits = bucket_bits(spark)
+        bits, slots = bucket_bits(base), slot_count(base)
         asked = base.mapInArrow(_ask(bits, k, min_words, piece_bytes), "bucket int, piece long, keys binary")
-        said = asked.groupBy("bucket").applyInArrow(_repeated, "bucket int, piece long, n long, flags binary").withColumn("slot", F.pmod(F.shiftright("piece", 20), F.lit(SLOTS)).cast("int"))
+        said = asked.groupBy("bucket").applyInArrow(_repeated, "bucket int, piece long, n long, flags binary").withColumn("slot", F.pmod(F.shiftright("piece", 20), F.lit(slots)).cast("int"))
         path = fresh_path(spark, "anchors")
         said.repartition("slot").sortWithinPartitions("slot", "piece").write.partitionBy("slot").parquet(path)
-        around = base.mapInArrow(_send(path, bits, k, min_words, piece_bytes), _AROUND)
+        around = base.mapInArrow(_send(path, slots, bits, k, min_words, piece_bytes), _AROUND)
         judged = around.groupBy("bucket").applyInArrow(_judge(min_words), "piece long, ids array<long>, kept binary, rows binary, starts binary, repeated binary, later binary")
         return cut(judged.groupBy("piece").applyInArrow(_spans(min_words), "doc_id long, begin long, end long, drop boolean"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for i, spans in enumerate(batch.column("spans").to_pylist()):
-            if spans:
-                raw = texts[i].encode()
-                words = Words(pa.array([texts[i]]))
-                kept, at = [], 0
-                for s in sorted(spans, key=lambda s: s["begin"]):
-                    kept.append(raw[at : words.start[s["begin"]]])
-                    at = int(words.start[s["end"]]) if s["end"] < len(words.start) else len(raw)
-                texts[i] = b"".join([*kept, raw[at:]]).decode()
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names if n != "spans"], [n for n in batch.schema.names if n != "spans"])
+def _without(name: str):
+    """Texts without the stretches of words that the column ``name`` lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for i, spans in enumerate(batch.column(name).to_pylist()):
+                if spans:
+                    raw = texts[i].encode()
+                    words = Words(pa.array([texts[i]]), fold=False)
+                    kept, at = [], 0
+                    for s in sorted(spans, key=lambda s: s["begin"]):
+                        kept.append(raw[at : words.start[s["begin"]]])
+                        at = int(words.start[s["end"]]) if s["end"] < len(words.start) else len(raw)
+                    texts[i] = b"".join([*kept, raw[at:]]).decode()
+            names = [n for n in batch.schema.names if n != name]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+
+    return run
 
 
 def drop_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """docs without the passages that have an earlier occurrence; n_chars, if there, follows the text.
+    """docs without the passages that have an earlier occurrence, in the order of doc_id (nulls first, then by a hash of the text); n_chars, if there, follows the text.
 
     A text that consists of such passages throughout is dropped with its row, others are kept, null and empty texts
-    too. Rows are matched by doc_id: rows without one, and all rows of a doc_id that occurs more than once, stay as they are.
+    too. Every row counts by itself, also one without a doc_id or with one that others have; columns of any other name are kept.
     """
-    spans = repeated_passages(docs, min_words).where("drop and doc_id is not null").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    spans = spans.join(many, "doc_id", "left_anti")
-    marked = docs.join(spans, "doc_id", "left").select(*docs.columns, "spans")
-    touched = F.col("spans").isNotNull()
-    done = marked.where(touched).mapInArrow(_without, docs.schema).where(F.trim("text") != "")
-    both = done.unionByName(marked.where(~touched).drop("spans"))
+    base, key = keyed(docs)
+    spans, of = free_name(base, "spans"), free_name(base, "_of")
+    found = repeated_passages(base.select(F.col(key).alias("doc_id"), "text"), min_words).where("drop")
+    found = found.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("begin", "end")).alias(spans))
+    marked = base.join(found, F.col(key) == F.col(of), "left").select(*docs.columns, spans)
+    touched = F.col(spans).isNotNull()
+    done = marked.where(touched).mapInArrow(_without(spans), docs.schema).where(F.trim("text") != "")
+    both = done.unionByName(marked.where(~touched).drop(spans))
     return both.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else both
 
 
