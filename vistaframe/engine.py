@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import replace
 from datetime import datetime, timedelta, timezone
@@ -16,11 +17,12 @@ from vistaframe.functions.columns import time_literal
 from vistaframe.ir import Filter, Lookup, Option, Query, Request
 from vistaframe.operators.dml import delete, upsert
 from vistaframe.plans import planner, slicing
-from vistaframe.plans.lower import Scope, combine, conclude, condition, lower, lower_partial
+from vistaframe.plans.lower import Scope, combine, conclude, condition, lower, lower_partial, trim
 from vistaframe.plans.parser import parse
 from vistaframe.plans.validate import check_filter, validate
 from vistaframe.registry import Info, Registry, Stats, measure, utc_now
-from vistaframe.storage import shared_folder
+from vistaframe.sources.readers import as_json
+from vistaframe.storage import DAY, read_files, shared_folder, write_by_time
 from vistaframe.types import Schema
 
 
@@ -28,6 +30,8 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str | None = None, allow_lookup_scan: bool = False, text_mode: str = "substring", use_views: bool = True, clock: Callable[[], datetime] = utc_now) -> None:
         self.spark, self.root, self.allow_lookup_scan, self.text_mode, self.use_views, self.clock = spark, root, allow_lookup_scan, text_mode, use_views, clock
         self.registry = Registry(spark, f"{root}/registry" if root else None, clock)
+        #: how often rows or datasets have changed; answers kept from before are out of date
+        self.changes = 0
 
     # datasets
 
@@ -36,10 +40,12 @@ class Engine:
         j = json.loads(request) if isinstance(request, str) else request
         if "dataset" not in j or "schema" not in j:
             raise JsonRequestError("a registration needs dataset and schema")
+        self.changes += 1
         return self.registry.register(j["dataset"], Schema.from_json(j["schema"]), source)
 
     def deregister(self, request: str | dict) -> list[str]:
         j = json.loads(request) if isinstance(request, str) else request
+        self.changes += 1
         return self.registry.deregister(j["dataset"])
 
     def datasets(self) -> list[Info]:
@@ -71,7 +77,9 @@ class Engine:
         view = self.best_view(q)
         field = self.registry.schema(q.dataset).time_field
         if view is None or field is None:
-            return [planner.Part(q)]
+            # the bounds that the query's own filters set let the scan leave out folders of days
+            bounds = planner.time_range(q, field) if field and DAY in self.registry.table(q.dataset).columns else (None, None)
+            return [planner.Part(q, *bounds)]
         self.registry.put(replace(view, stats=replace(view.stats, read=self.clock())))
         return planner.split(q, view.query, view.name, view.stats.modified, field, self._text_fields(q.dataset))
 
@@ -87,7 +95,16 @@ class Engine:
                 out = out & (c >= time_literal(start, ntz))
             if end is not None:
                 out = out & (c < time_literal(end, ntz))
-            return out | c.isNull() if nulls else out
+            if nulls:
+                out = out | c.isNull()
+            if DAY in scope.df.columns:  # folders that can hold such rows
+                day = F.lit(True)
+                if start is not None:
+                    day = day & (F.col(DAY) >= F.lit(start.date()))
+                if end is not None:
+                    day = day & (F.col(DAY) <= F.lit(end.date()))
+                out = out & (day | F.col(DAY).isNull() if nulls else day)
+            return out
 
         return bound
 
@@ -178,7 +195,7 @@ class Engine:
                 state = combine(q, parts)
                 if not r.option.return_delta and states[i] is not None:
                     state = combine(q, [states[i], state])
-                states[i] = self._kept(state)
+                states[i] = self._kept(trim(q, state, scope))
                 latest[i] = _rows(conclude(q, states[i], scope, self.registry.table, self.registry.schema))
             return cancelled() or self._enough(r.queries, latest) and not r.option.return_delta
 
@@ -221,19 +238,23 @@ class Engine:
         return f"{self.root}/views/{name}"
 
     def create_view(self, view: Query, until: datetime | None = None) -> Info:
-        """Writes the rows of a filter query that lie before ``until`` (now) as a view."""
-        name, until = planner.view_name(view), until or self.clock()
+        """Writes the rows of a filter query that lie before ``until`` (now) as a view, in order of time."""
         schema = self.registry.schema(view.dataset)
         if schema.time_field is None or not view.filter or view.group or view.select or view.unnest or view.lookup or view.append:
             raise QueryParsingError("a view filters a temporal dataset")
-        rows = lower(view, self.registry.table, self.registry.schema, self.text_mode, self._between(view.dataset, None, until))
-        rows.write.mode("overwrite").parquet(self._path(name) + "/0")
-        return self._viewed(name, view, schema, until, self._path(name) + "/0")
+        return self._write_view(planner.view_name(view), view, schema, until or self.clock())
 
-    def _viewed(self, name: str, view: Query, schema: Schema, until: datetime, path: str) -> Info:
-        df = self.spark.read.parquet(path)
-        start, end, n = measure(df, schema)
+    def _write_view(self, name: str, view: Query, schema: Schema, until: datetime, rows: DataFrame | None = None) -> Info:
+        """A new version of the view's files; without ``rows`` it is made from the dataset. The last version but one is removed."""
+        if rows is None:
+            rows = lower(view, self.registry.table, self.registry.schema, self.text_mode, self._between(view.dataset, None, until))
         old = self.registry.infos.get(name)
+        version = int(old.path.rsplit("/", 1)[1]) + 1 if old and old.path else 0
+        path = f"{self._path(name)}/{version}"
+        write_by_time(rows, path, Scope.of(rows, schema).columns[schema.time_field])
+        self.registry.remove(f"{self._path(name)}/{version - 2}")
+        df = read_files(self.spark, path, rows.schema)
+        start, end, n = measure(df, schema)
         self.registry.tables[name] = df
         self.registry.put(Info(name, schema, start, end, Stats(old.stats.created if old else self.clock(), until, self.clock(), n), view, path))
         return self.registry.infos[name]
@@ -242,11 +263,8 @@ class Engine:
         """Upserts what the dataset has since the view's last time, less ``overlap`` for late rows, by primary key."""
         info, until = self.registry.info(name), until or self.clock()
         delta = lower(info.query, self.registry.table, self.registry.schema, self.text_mode, self._between(info.query.dataset, info.stats.modified - overlap, until))
-        merged = upsert(self.registry.table(name), delta, list(info.schema.primary_key))
-        base, version = info.path.rsplit("/", 1)
-        path = f"{base}/{int(version) + 1}"
-        merged.write.mode("overwrite").parquet(path)
-        return self._viewed(name, info.query, info.schema, until, path)
+        merged = upsert(self.registry.table(name).drop(DAY), delta, list(info.schema.primary_key))
+        return self._write_view(name, info.query, info.schema, until, merged)
 
     def drop_view(self, name: str) -> None:
         if name in self.registry.infos:
@@ -254,11 +272,34 @@ class Engine:
 
     # changes
 
+    def _changed(self, name: str, df: DataFrame) -> DataFrame:
+        """Puts rows in the place of a dataset's: with a root as a new version that later sessions see. Its statistics are taken again, its views written again."""
+        info, now = self.registry.info(name), self.clock()
+        field = info.schema.time_field
+        if self.root:
+            path = f"{self.root}/data/{name}/{uuid.uuid4().hex}"
+            if field:
+                write_by_time(df, path, Scope.of(df, info.schema).columns[field])
+            else:
+                df.write.parquet(path)
+            df, info = read_files(self.spark, path, df.schema), replace(info, path=path)
+        self.registry.tables[name] = df
+        if field:
+            start, end, n = measure(df, info.schema)
+            info = replace(info, start=start, end=end, stats=replace(info.stats, modified=now, cardinality=n))
+        self.registry.put(info)
+        for v in self.registry.views(name):
+            if self.root:
+                self._write_view(v.name, v.query, v.schema, v.stats.modified)
+            else:
+                self.registry.drop(v.name)
+        self.changes += 1
+        return df.drop(DAY)
+
     def upsert(self, name: str, rows: DataFrame) -> DataFrame:
         """The dataset with the rows in place of those of the same primary key; it stands for the dataset from now on."""
         keys = list(self.registry.schema(name).primary_key)
-        self.registry.tables[name] = upsert(self.registry.table(name), rows, keys)
-        return self.registry.tables[name]
+        return self._changed(name, upsert(self.registry.table(name).drop(DAY), rows, keys))
 
     def delete(self, name: str, filters: list[dict] | tuple[Filter, ...]) -> DataFrame:
         """The dataset without the rows that satisfy all filters; it stands for the dataset from now on."""
@@ -268,17 +309,16 @@ class Engine:
             if f.field not in schema.fields:
                 raise QueryParsingError(f"field {f.field} is not found")
             check_filter(f, schema.fields[f.field])
-        scope = Scope.of(self.registry.table(name), schema)
+        scope = Scope.of(self.registry.table(name).drop(DAY), schema)
         which = None
         for f in parsed:
             c = condition(scope, f, self.text_mode)
             which = c if which is None else which & c
-        self.registry.tables[name] = delete(scope.df, which)
-        return self.registry.tables[name]
+        return self._changed(name, delete(scope.df, which))
 
 
 class Cache:
-    """Answers by request for ``max_age`` seconds; an open end of a time range within that age is left out of the key."""
+    """Answers by request for ``max_age`` seconds, or until a dataset changes; an open end of a time range within that age is left out of the key."""
 
     def __init__(self, engine: Engine, max_age: float = 600, most: int = 1000, clock: Callable[[], float] = time.time) -> None:
         self.engine, self.max_age, self.most, self.clock = engine, max_age, most, clock
@@ -303,7 +343,7 @@ class Cache:
 
     def run(self, request: str | dict) -> object:
         j = json.loads(request) if isinstance(request, str) else request
-        key, now = self._key(j), self.clock()
+        key, now = f"{self.engine.changes} {self._key(j)}", self.clock()
         if key not in self.held or now - self.held[key][0] > self.max_age:
             while len(self.held) >= self.most:
                 self.held.pop(next(iter(self.held)))
@@ -316,7 +356,7 @@ def _interval(start: datetime, end: datetime) -> dict:
 
 
 def _rows(df: DataFrame) -> list[dict]:
-    return [json.loads(x) for x in df.toJSON().collect()]
+    return [json.loads(r["value"]) for r in as_json(df).collect()]
 
 
 def _wrapped(value: object, transform: dict | None) -> object:

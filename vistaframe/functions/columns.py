@@ -35,6 +35,23 @@ def component(c: Column, unit: str) -> Column:
     return c.cast("date") if unit == "day" else part[unit](c)
 
 
+def interval_text(c: Column, unit: str) -> Column:
+    """An instant as text, cut off after the unit; for a week its number within the year."""
+    form = {"second": "yyyy-MM-dd HH:mm:ss", "minute": "yyyy-MM-dd HH:mm", "hour": "yyyy-MM-dd HH", "day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
+    return F.weekofyear(c).cast("string") if unit == "week" else F.date_format(c, form[unit])
+
+
+def word_tokens(c: Column) -> Column:
+    """The words of a text in lower case: its runs of letters and digits."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def similarity_jaccard(a: Column, b: Column) -> Column:
+    """The share of the different elements of two arrays that both have; 0 where both are empty."""
+    every = F.size(F.array_union(a, b))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(every > 0, F.size(F.array_intersect(a, b)) / every).otherwise(0.0))
+
+
 def bin_number(c: Column, scale: float) -> Column:
     """The nearest multiple of ``scale``, halves away from zero."""
     return F.round(c.cast("double") / F.lit(float(scale))) * F.lit(float(scale))

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistaframe.functions.columns import CELLS, all_words, bin_number, component, geo_cell, interval, time_literal
+from vistaframe.functions.columns import CELLS, all_words, bin_number, component, geo_cell, interval, interval_text, time_literal
 from vistaframe.ir import Aggregate, By, Filter, Lookup, Query, Select
 from vistaframe.plans.validate import parse_time
+from vistaframe.storage import DAY
 from vistaframe.types import Schema
 
 
@@ -96,6 +97,8 @@ def group_key(scope: Scope, b: By) -> Column:
         return scope.columns[scope.levels[b.field][args["level"]]]
     c = scope.columns[b.field]
     if b.func == "interval":
+        if args.get("mode") == "text":
+            return interval_text(c, args["unit"])
         return component(c, args["unit"]) if args.get("mode") == "component" else interval(c, args["unit"], int(args.get("x", 1)), scope.is_ntz(b.field))
     if b.func == "bin":
         return bin_number(c, args["scale"])
@@ -109,6 +112,8 @@ def prepare(q: Query, table: Callable[[str], DataFrame], schema_of: Callable[[st
     scope = Scope.of(table(q.dataset), schema_of(q.dataset))
     if extra is not None:
         scope.df = scope.df.where(extra(scope))
+    # the folder column of a table written in order of time
+    scope.df = scope.df.drop(DAY)
     for a in q.append:
         scope.put(scope.df.withColumn(a.name, F.expr(a.definition)), a.name, a.kind)
     for i, x in enumerate(q.lookup):
@@ -120,108 +125,153 @@ def prepare(q: Query, table: Callable[[str], DataFrame], schema_of: Callable[[st
     return scope
 
 
-def state_columns(a: Aggregate) -> list[tuple[str, str]]:
-    """(column, how it merges) of an aggregate's partial state; bags of (value, count) merge by value."""
+def _plain_states(a: Aggregate) -> list[tuple[str, str]]:
+    """(column, how it merges) of an aggregate whose state is a few numbers."""
+    if a.func in VALUED:
+        return []
     if a.func == "avg":
         return [(f"__sum__{a.name}", "sum"), (f"__count__{a.name}", "sum")]
-    if a.func in ("distinctCount", "topK"):
-        return [(f"__bag__{a.name}", "bag")]
     return [(a.name, "sum" if a.func in ("count", "sum") else a.func)]
 
 
+#: Aggregates whose state is the different values of a group: one row for each, with how often it occurs.
+VALUED = ("distinctCount", "topK")
+MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
+
+
+def _valued(aggregates: tuple[Aggregate, ...]) -> list[Aggregate]:
+    return [a for a in aggregates if a.func in VALUED]
+
+
 def _simple(a: Aggregate, c: Column | None) -> Column:
     if a.func == "count":
         return F.count(F.lit(1)) if c is None else F.count(c)
     return {"sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "distinctCount": F.count_distinct}[a.func](c)
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[f"`{k}`"].eqNullSafe(right[f"`{k}`"]) for k in keys])
+def _elements(scope: Scope, a: Aggregate) -> Column:
+    """The values of a row as an array, nulls left out: for topK of a bag its elements count, and for a text its words."""
+    c, kind = scope.columns[a.field], scope.kinds[a.field]
+    if a.func == "topK" and kind == "Bag":
+        c = F.coalesce(c, F.array())
+    elif a.func == "topK" and kind == "Text":
+        c = F.coalesce(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""), F.array())
+    else:
+        c = F.array(c)
+    return F.filter(c, lambda v: v.isNotNull())
 
 
-def _attach(df: DataFrame, more: DataFrame, keys: list[str], name: str) -> DataFrame:
-    if not keys:
-        return df.crossJoin(more)
-    return df.join(more, _same(df, more, keys), "left").select(*[df[f"`{c}`"] for c in df.columns], more[f"`{name}`"])
+def _one_plain(scope: Scope, valued: list[Aggregate]) -> bool:
+    return len(valued) == 1 and not (valued[0].func == "topK" and scope.kinds[valued[0].field] in ("Bag", "Text"))
 
 
-def _counted(rows: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """For each group its bag: the different values, nulls left out, with how often each occurs."""
-    per_value = rows.withColumn("__value", value).where("__value is not null").groupBy(*map(quoted, keys), "__value").agg(F.count(F.lit(1)).alias("__n"))
-    return per_value.groupBy(*map(quoted, keys)).agg(F.collect_list(F.struct(F.col("__value").alias("value"), F.col("__n").alias("n"))).alias(name))
+def _by_value(keyed: Scope, valued: list[Aggregate]) -> DataFrame:
+    """The rows with ``__kind`` and a column of values for each valued aggregate.
 
+    A single aggregate of plain fields keeps its rows as they are, with kind 1. Else a row of kind 0 carries the other
+    aggregates' fields, and rows of kind i the values of the i-th valued one, all in one pass.
+    """
+    a = valued[0]
+    if _one_plain(keyed, valued):
+        return keyed.df.withColumns({"__kind": F.lit(1), f"__value__{a.name}": keyed.columns[a.field]})
+    found = [_elements(keyed, a) for a in valued]
+    types = [f.dataType.elementType for f in keyed.df.select(*[c.alias(f"v{i}") for i, c in enumerate(found)]).schema]
 
-def _top(bag: Column, k: int) -> Column:
-    """The k most frequent values; ties go to the smaller value."""
-    ordered = F.array_sort(F.transform(bag, lambda e: F.struct((-e["n"]).alias("n"), e["value"].alias("value"))))
-    return F.coalesce(F.transform(F.slice(ordered, 1, k), lambda e: e["value"]), F.array())
+    def struct(kind: int, value: Column | None = None) -> Column:
+        cells = [(value if i == kind else F.lit(None).cast(t)).alias(f"v{i}") for i, t in enumerate(types, 1)]
+        return F.struct(F.lit(kind).alias("kind"), *cells)
 
+    def each(kind: int, values: Column) -> Column:
+        return F.transform(values, lambda v: struct(kind, v))
 
-def _values(scope: Scope, a: Aggregate) -> tuple[DataFrame, Column]:
-    """For topK of a bag its elements count, and for a text its words."""
-    c, kind = scope.columns[a.field], scope.kinds[a.field]
-    if kind == "Bag":
-        return scope.df.withColumn("__element", F.explode(c)), F.col("__element")
-    if kind == "Text":
-        return scope.df.withColumn("__element", F.explode(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))), F.col("__element")
-    return scope.df, c
+    out = keyed.df.withColumn("__e", F.explode(F.concat(F.array(struct(0)), *[each(i, c) for i, c in enumerate(found, 1)])))
+    return out.withColumns({"__kind": F.col("__e.kind"), **{f"__value__{a.name}": F.col(f"__e.v{i}") for i, a in enumerate(valued, 1)}}).drop("__e")
 
 
 def aggregate(scope: Scope, keys: list[tuple[str, Column]], aggregates: tuple[Aggregate, ...], partial: bool = False) -> DataFrame:
-    """Groups in one pass; topK, and any state of values, takes a pass by value of its own."""
+    """Groups in one pass. A partial state has, for each group, a row for each different value of the valued aggregates, with ``__n``."""
     names = [n for n, _ in keys]
     clash = {n: f"__group{i}" for i, n in enumerate(names)}
+    hidden = [clash[n] for n in names]
     keyed = Scope(scope.df.select("*", *[c.alias(clash[n]) for n, c in keys]), scope.columns, scope.kinds, scope.inner, scope.levels)
-    aggs, bags, order = [], [], []
+    valued = _valued(aggregates)
+    if not partial and any(a.func == "topK" for a in valued):
+        return settle(aggregate(scope, keys, aggregates, True), names, aggregates)
+    if not (partial and valued):
+        aggs = []
+        for a in aggregates:
+            c = None if a.field == "*" else keyed.columns[a.field]
+            if partial and a.func == "avg":
+                aggs += [F.sum(c).alias(f"__sum__{a.name}"), F.count(c).alias(f"__count__{a.name}")]
+            else:
+                aggs.append(_simple(a, c).alias(a.name))
+        order = [n for a in aggregates for n, _ in _plain_states(a)] if partial else [a.name for a in aggregates]
+        return keyed.df.groupBy(*hidden).agg(*aggs).select(*[F.col(clash[n]).alias(n) for n in names], *map(quoted, order))
+    rows = _by_value(keyed, valued)
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    # rows of other kinds hold values alone
+    carrier = 1 if _one_plain(keyed, valued) else 0
+    own = lambda c: F.when(F.col("__kind") == carrier, c)
     for a in aggregates:
-        c = None if a.field == "*" else keyed.columns[a.field]
-        if a.func == "topK" or partial and a.func == "distinctCount":
-            bags.append(a)
-            order.append(state_columns(a)[0][0] if partial else a.name)
-        elif partial and a.func == "avg":
+        if a.func in VALUED:
+            continue
+        c = own(F.lit(1) if a.field == "*" else keyed.columns[a.field])
+        if a.func == "avg":
             aggs += [F.sum(c).alias(f"__sum__{a.name}"), F.count(c).alias(f"__count__{a.name}")]
-            order += [f"__sum__{a.name}", f"__count__{a.name}"]
         else:
             aggs.append(_simple(a, c).alias(a.name))
-            order.append(a.name)
-    hidden = [clash[n] for n in names]
-    out = keyed.df.groupBy(*hidden).agg(*(aggs or [F.count(F.lit(1)).alias("__rows")]))
-    for a in bags:
-        rows, value = _values(keyed, a)
-        out = _attach(out, _counted(rows, hidden, value, f"__bag__{a.name}"), hidden, f"__bag__{a.name}")
-        if not partial:
-            out = out.withColumn(a.name, _top(quoted(f"__bag__{a.name}"), a.k))
-    return out.select(*[F.col(clash[n]).alias(n) for n in names], *[quoted(n) for n in order])
+    values = [f"__value__{a.name}" for a in valued]
+    out = rows.groupBy(*hidden, "__kind", *map(quoted, values)).agg(*aggs)
+    return out.select(*[F.col(clash[n]).alias(n) for n in names], "__kind", *map(quoted, values), "__n", *[quoted(n) for a in aggregates for n, _ in _plain_states(a)])
 
 
 def merge(parts: list[DataFrame], keys: list[str], aggregates: tuple[Aggregate, ...]) -> DataFrame:
-    """Partial states of the same groups, made one state."""
+    """Partial states of the same groups, made one state, in one pass."""
     rows = reduce(lambda a, b: a.unionByName(b), parts)
-    states = [s for a in aggregates for s in state_columns(a)]
-    how = {"sum": F.sum, "min": F.min, "max": F.max}
-    aggs = [how[m](quoted(n)).alias(n) for n, m in states if m != "bag"]
-    out = rows.groupBy(*map(quoted, keys)).agg(*(aggs or [F.count(F.lit(1)).alias("__rows")]))
-    for name in (n for n, m in states if m == "bag"):
-        loose = rows.select(*map(quoted, keys), F.explode(quoted(name)).alias("__e"))
-        by_value = loose.groupBy(*map(quoted, keys), F.col("__e.value").alias("__value")).agg(F.sum("__e.n").alias("__n"))
-        bag = by_value.groupBy(*map(quoted, keys)).agg(F.collect_list(F.struct(F.col("__value").alias("value"), F.col("__n").alias("n"))).alias(name))
-        out = _attach(out, bag, keys, name)
-    return out.select(*map(quoted, keys), *[quoted(n) for n, _ in states])
+    valued = _valued(aggregates)
+    own = [*keys, "__kind", *[f"__value__{a.name}" for a in valued]] if valued else keys
+    aggs = [MERGE[m](quoted(n)).alias(n) for a in aggregates for n, m in _plain_states(a)]
+    if valued:
+        aggs.append(F.sum("__n").alias("__n"))
+    out = rows.groupBy(*map(quoted, own)).agg(*aggs) if aggs else rows.groupBy(*map(quoted, own)).agg(F.count(F.lit(1)).alias("__rows"))
+    return out.select(*map(quoted, rows.columns))
 
 
 def settle(state: DataFrame, keys: list[str], aggregates: tuple[Aggregate, ...]) -> DataFrame:
-    """The aggregates that a merged state stands for; an average of nothing is null."""
-
-    def value(a: Aggregate) -> Column:
+    """The aggregates that a merged state stands for; an average of nothing is null, ties of topK go to the smaller value.
+
+    Of a group's values at most k are ever brought together.
+    """
+    valued = _valued(aggregates)
+    out, k = state, [F.col(f"`{x}`") for x in keys]
+    if valued:
+        aggs = [MERGE[m](quoted(n)).alias(n) for a in aggregates for n, m in _plain_states(a)]
+        aggs += [F.count(F.when(F.col("__kind") == i, quoted(f"__value__{a.name}"))).alias(f"__distinct__{a.name}") for i, a in enumerate(valued, 1) if a.func == "distinctCount"]
+        out = state.groupBy(*k).agg(*(aggs or [F.count(F.lit(1)).alias("__rows")]))
+    for i, a in enumerate(valued, 1):
+        if a.func == "topK":
+            value = quoted(f"__value__{a.name}")
+            order = Window.partitionBy(*k).orderBy(F.desc("__n"), value)
+            best = state.where((F.col("__kind") == i) & value.isNotNull()).select(*k, value.alias("__v"), "__n").withColumnRenamed("__v", f"__value__{a.name}")
+            best = best.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= a.k)
+            listed = F.array_sort(F.collect_list(F.struct("__rank", value.alias("value"))))
+            best = best.groupBy(*k).agg(F.transform(listed, lambda e: e["value"]).alias(f"__top__{a.name}"))
+            if keys:
+                same = reduce(lambda x, y: x & y, [out[f"`{n}`"].eqNullSafe(best[f"`{n}`"]) for n in keys])
+                out = out.join(best, same, "left").select(*[out[f"`{c}`"] for c in out.columns], best[f"`__top__{a.name}`"])
+            else:  # one row each
+                out = out.withColumn("__one", F.lit(1)).join(best.withColumn("__one", F.lit(1)), "__one").drop("__one")
+
+    def value_of(a: Aggregate) -> Column:
         if a.func == "avg":
             return F.when(quoted(f"__count__{a.name}") > 0, quoted(f"__sum__{a.name}") / quoted(f"__count__{a.name}"))
         if a.func == "distinctCount":
-            return F.greatest(F.size(F.coalesce(quoted(f"__bag__{a.name}"), F.array())), F.lit(0)).cast("long")
+            return quoted(f"__distinct__{a.name}")
         if a.func == "topK":
-            return _top(quoted(f"__bag__{a.name}"), a.k)
+            return F.coalesce(quoted(f"__top__{a.name}"), F.array())
         return quoted(a.name)
 
-    return state.select(*map(quoted, keys), *[value(a).alias(a.name) for a in aggregates])
+    return out.select(*map(quoted, keys), *[value_of(a).alias(a.name) for a in aggregates])
 
 
 def select(scope: Scope, s: Select) -> None:
@@ -286,6 +336,16 @@ def combine(q: Query, parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def trim(q: Query, state: DataFrame, scope: Scope) -> DataFrame:
+    """Of the rows of a query without groups only those that its order, limit and offset can still reach."""
+    s = q.select
+    if q.group or not s or not s.limit:
+        return state
+    if s.order:
+        state = state.orderBy(*[scope.columns[o[1:]].desc() if o.startswith("-") else scope.columns[o].asc() for o in s.order])
+    return state.limit(s.limit + s.offset)
+
+
 def conclude(q: Query, state: DataFrame, before: Scope, table, schema_of) -> DataFrame:
     if q.group:
         return finish(grouped_scope(settle(state, [b.name for b in q.group.by], q.group.aggregates), q, before), q, table, schema_of)

@@ -14,6 +14,7 @@ from vistaframe.errors import RegistryError, UnknownDataset
 from vistaframe.ir import Query
 from vistaframe.plans.lower import Scope
 from vistaframe.plans.parser import parse, to_json
+from vistaframe.storage import read_files
 from vistaframe.types import Schema
 
 LOOKUP_ROWS, LOOKUP_START, LOOKUP_END = 1000, datetime(1970, 1, 1), datetime(2048, 1, 1)
@@ -74,7 +75,7 @@ class Registry:
     def table(self, name: str) -> DataFrame:
         info = self.info(name)
         if name not in self.tables:
-            self.tables[name] = self.spark.read.parquet(info.path)
+            self.tables[name] = read_files(self.spark, info.path, info.schema.struct())
         return self.tables[name]
 
     def register(self, name: str, schema: Schema, source: DataFrame | str) -> Info:
@@ -115,6 +116,10 @@ class Registry:
         if info.query is not None and info.path:
             _File(self.spark, info.path).delete()
 
+    def remove(self, path: str) -> None:
+        """Deletes a folder of files, if it is there."""
+        _File(self.spark, path).delete()
+
     def views(self, dataset: str) -> list[Info]:
         return [i for i in self.infos.values() if i.query is not None and i.query.dataset == dataset]
 

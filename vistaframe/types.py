@@ -109,3 +109,8 @@ class Schema:
             return T.StructType([T.StructField(k, build(v) if isinstance(v, dict) else v.spark_type(), isinstance(v, dict) or v.optional) for k, v in node.items()])
 
         return build(tree)
+
+    def ddl(self, table: str, form: str = "parquet") -> str:
+        """A statement that creates the table: what isn't optional is not null, and the primary key is kept as a property."""
+        cols = [f"`{f.name}` {f.dataType.simpleString()}{'' if f.nullable and f.name not in self.primary_key else ' NOT NULL'}" for f in self.struct().fields]
+        return f"CREATE TABLE {table} ({', '.join(cols)}) USING {form} TBLPROPERTIES ('primaryKey' = '{','.join(self.primary_key)}', 'timeField' = '{self.time_field or ''}')"
