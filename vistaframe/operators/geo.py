@@ -5,9 +5,6 @@ Regions are rows with xmin, ymin, xmax, ymax. A join goes through grid cells, so
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,30 +25,35 @@ def points_in_boxes(points: DataFrame, regions: DataFrame, size: float = 1.0) ->
     return at.join(_gridded(regions, size), ["__cx", "__cy"]).where(inside).drop("__cx", "__cy")
 
 
-def boxes_overlapping(boxes: DataFrame, regions: DataFrame, key: str, region_key: str, size: float = 1.0) -> DataFrame:
-    """(key, region_key, area): pairs of boxes and regions whose closed rectangles meet, with the area in common."""
-    a = _gridded(boxes.select(key, "xmin", "ymin", "xmax", "ymax"), size)
-    b = _gridded(regions.select(region_key, *[F.col(c).alias(f"r{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).withColumnsRenamed({f"r{c}": c for c in ("xmin", "ymin", "xmax", "ymax")}), size)
-    b = b.select(region_key, *[F.col(c).alias(f"r{c}") for c in ("xmin", "ymin", "xmax", "ymax")], "__cx", "__cy")
+def boxes_overlapping(boxes: DataFrame, regions: DataFrame, key: str, region_key: str, size: float = 1.0, same: str | None = None) -> DataFrame:
+    """(key, region_key, area): pairs of boxes and regions whose closed rectangles meet, with the area in common; with ``same`` only those equal in that column."""
+    both = [F.col(same).alias("__same")] if same else []
+    a = _gridded(boxes.select(key, *both, "xmin", "ymin", "xmax", "ymax"), size)
+    b = _gridded(regions.select(region_key, *both, *[F.col(c).alias(f"r{c}") for c in ("xmin", "ymin", "xmax", "ymax")]).withColumnsRenamed({f"r{c}": c for c in ("xmin", "ymin", "xmax", "ymax")}), size)
+    b = b.select(region_key, *(["__same"] if same else []), *[F.col(c).alias(f"r{c}") for c in ("xmin", "ymin", "xmax", "ymax")], "__cx", "__cy")
     w = F.least("xmax", "rxmax") - F.greatest("xmin", "rxmin")
     h = F.least("ymax", "rymax") - F.greatest("ymin", "rymin")
     # a pair may share many cells; it counts in the first
     first = (F.floor(F.greatest("xmin", "rxmin") / size) == F.col("__cx")) & (F.floor(F.greatest("ymin", "rymin") / size) == F.col("__cy"))
-    return a.join(b, ["__cx", "__cy"]).where((w >= 0) & (h >= 0) & first).select(key, region_key, (w * h).alias("area"))
+    return a.join(b, ["__cx", "__cy", *(["__same"] if same else [])]).where((w >= 0) & (h >= 0) & first).select(key, region_key, (w * h).alias("area"))
 
 
 def tag_points(points: DataFrame, key: str, regions: DataFrame, region_key: str, size: float = 1.0) -> DataFrame:
-    """Every point with ``region_key`` of the smallest region (ties: by key) whose box holds it, null if none does."""
-    area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
+    """Every point with ``region_key`` of the smallest region (ties to 9 digits of the area: by key) whose box holds it, null if none does."""
+    area = F.round((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")), 9)
     hits = points_in_boxes(points.select(key, "x", "y"), regions, size).groupBy(key).agg(F.min(F.struct(area.alias("a"), F.col(region_key).alias("r"))).alias("__hit"))
     hits = hits.select(F.col(key).alias("__key"), F.col("__hit.r").alias(region_key))
     return points.join(hits, points[key] == F.col("__key"), "left").drop("__key")
 
 
-def largest_parent(boxes: DataFrame, parents: DataFrame, key: str, parent_key: str, size: float = 1.0) -> DataFrame:
-    """(key, parent_key): for each box the parent it shares the largest area with; ties by key."""
-    pairs = boxes_overlapping(boxes, parents, key, parent_key, size)
-    return pairs.groupBy(key).agg(F.min(F.struct((-F.col("area")).alias("a"), F.col(parent_key).alias("p"))).alias("__best")).select(key, F.col("__best.p").alias(parent_key))
+def largest_parent(boxes: DataFrame, parents: DataFrame, key: str, parent_key: str, size: float = 1.0, same: str | None = None) -> DataFrame:
+    """(key, parent_key): for each box the parent it shares the largest area with, of those equal in the column ``same`` if it is given; ties by key."""
+    return best_parent(boxes_overlapping(boxes, parents, key, parent_key, size, same), key, parent_key)
+
+
+def best_parent(pairs: DataFrame, key: str, parent_key: str) -> DataFrame:
+    """Of pairs with an ``area`` for each key the parent with the largest, to 9 digits; ties by key."""
+    return pairs.groupBy(key).agg(F.min(F.struct((-F.round("area", 9)).alias("a"), F.col(parent_key).alias("p"))).alias("__best")).select(key, F.col("__best.p").alias(parent_key))
 
 
 def by_name(rows: DataFrame, regions: DataFrame, name: str, state: str, region_key: str) -> DataFrame:
@@ -60,11 +62,35 @@ def by_name(rows: DataFrame, regions: DataFrame, name: str, state: str, region_k
     return rows.join(known, (F.lower(rows[name]) == F.col("__n")) & (F.lower(rows[state]) == F.col("__s")), "left").drop("__n", "__s")
 
 
+def by_name_covering(rows: DataFrame, regions: DataFrame, key: str, name: str, region_key: str) -> DataFrame:
+    """Every row with ``region_key`` of the region of its name (case ignored) whose box covers the row's (xmin, ymin, xmax, ymax); of several the smallest key."""
+    known = regions.select(F.lower(name).alias("__n"), F.col(region_key).alias("__r"), *[F.col(c).alias(f"__{c}") for c in ("xmin", "ymin", "xmax", "ymax")])
+    covers = (F.col("__xmin") <= F.col("xmin")) & (F.col("__ymin") <= F.col("ymin")) & (F.col("__xmax") >= F.col("xmax")) & (F.col("__ymax") >= F.col("ymax"))
+    hits = rows.select(F.col(key).alias("__key"), F.lower(name).alias("__n"), "xmin", "ymin", "xmax", "ymax").join(known, "__n").where(covers).groupBy("__key").agg(F.min("__r").alias(region_key))
+    return rows.join(hits, rows[key] == F.col("__key"), "left").drop("__key")
+
+
 def tag_cascade(rows: DataFrame, key: str, city_names: DataFrame, regions: DataFrame, region_key: str, size: float = 1.0) -> DataFrame:
-    """Rows tagged by place name first, else by their point; rows that neither tags are dropped."""
-    named = by_name(rows, city_names, "name", "state", region_key).withColumnRenamed(region_key, "__by_name")
-    both = tag_points(named, key, regions, region_key, size).withColumnRenamed(region_key, "__by_point")
-    return both.withColumn(region_key, F.coalesce("__by_name", "__by_point")).drop("__by_name", "__by_point").where(F.col(region_key).isNotNull())
+    """Rows tagged by what their ``place_type`` says; rows that remain untagged are dropped.
+
+    A ``city`` is found by name and state, a ``neighborhood`` by name among the regions whose box covers its own, a
+    ``poi`` by the middle of its box; anything else, and what these don't find, by its point. ``key`` names each row.
+    """
+    named = by_name(rows, city_names, "name", "state", region_key).withColumnRenamed(region_key, "__city")
+    covered = by_name_covering(named, regions, key, "name", region_key).withColumnRenamed(region_key, "__hood")
+    middle = lambda lo, hi: (F.col(lo) + F.col(hi)) / 2
+    poi = F.col("place_type") == "poi"
+    spots = covered.select(F.col(key).alias("__at"), F.when(poi, F.coalesce(middle("xmin", "xmax"), "x")).otherwise(F.col("x")).alias("x"), F.when(poi, F.coalesce(middle("ymin", "ymax"), "y")).otherwise(F.col("y")).alias("y"))
+    by_point = tag_points(spots, "__at", regions, region_key, size).select("__at", F.col(region_key).alias("__point"))
+    both = covered.join(by_point, covered[key] == F.col("__at"), "left")
+    tag = F.coalesce(F.when(F.col("place_type") == "city", F.col("__city")), F.when(F.col("place_type") == "neighborhood", F.col("__hood")), "__point")
+    return both.withColumn(region_key, tag).drop("__city", "__hood", "__point", "__at").where(F.col(region_key).isNotNull())
+
+
+def in_ids(rows: DataFrame, key: str, ids: DataFrame, few: int = 200_000) -> DataFrame:
+    """Rows whose key is among ``ids`` (a column of the same name), however many those are; few of them, counted, are broadcast."""
+    ids = ids.select(key).distinct()
+    return rows.join(F.broadcast(ids) if ids.count() <= few else ids, key, "left_semi")
 
 
 def rectangle(corners: Column) -> Column:
@@ -84,22 +110,26 @@ def viewport(rows: DataFrame, west: float, south: float, east: float, north: flo
     return rows.where((F.col("x") >= west) & (F.col("x") < east) & F.col("y").between(south, north))
 
 
+def point_text(p: Column) -> Column:
+    """A point as ``POINT (x y)``."""
+    return F.when(p.isNotNull(), F.concat(F.lit("POINT ("), p["x"].cast("string"), F.lit(" "), p["y"].cast("string"), F.lit(")")))
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point lies inside a polygon (array of structs x, y), by counting the sides that a ray crosses; null for a null point or polygon."""
+    before = F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+
+    def crossed(p: Column, q: Column) -> Column:
+        at = (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"]) + p["x"]
+        return F.when((p["y"] > y) != (q["y"] > y), F.when(x < at, 1).otherwise(0)).otherwise(0)
+
+    odd = F.aggregate(F.zip_with(ring, before, crossed), F.lit(0), lambda a, c: a + c) % 2 == 1
+    return F.when(x.isNotNull() & y.isNotNull() & (F.size(ring) > 0), odd).otherwise(F.when(F.size(ring) == 0, False))
+
+
 def within_polygons(pairs: DataFrame) -> DataFrame:
-    """Of pairs with a point (x, y) and a polygon ``ring`` (array of structs x, y) those where it lies inside, by counting crossings."""
-
-    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            keep = []
-            for x, y, ring in zip(f["x"], f["y"], f["ring"]):
-                odd, (px, py) = False, (ring[-1]["x"], ring[-1]["y"])
-                for p in ring:
-                    if (p["y"] > y) != (py > y) and x < (px - p["x"]) * (y - p["y"]) / (py - p["y"]) + p["x"]:
-                        odd = not odd
-                    px, py = p["x"], p["y"]
-                keep.append(odd)
-            yield f[keep]
-
-    return pairs.mapInPandas(inside, pairs.schema)
+    """Of pairs with a point (x, y) and a polygon ``ring`` those where it lies inside."""
+    return pairs.where(in_ring(F.col("x"), F.col("y"), F.col("ring")))
 
 
 def repaired_population(regions: DataFrame, population: DataFrame, parent: str) -> DataFrame:

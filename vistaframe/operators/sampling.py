@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 256
+from vistaframe.storage import shared_folder
 
 
 def decimate(rows: DataFrame, order: list[str], most: int = 2000) -> DataFrame:
     """Every k-th row in the given order, k = rows / most rounded down, counting from the first; all rows if there are no more than ``most``.
 
-    Positions come from range partitions and their sizes, so no task sorts the whole series.
+    Positions come from range partitions and their sizes, so no task sorts the whole series. The partitions are kept in
+    the shared folder, as both readings must see the same ones. Rows that are equal in the order may take any of their places.
     """
     n = rows.count()
     step = n // most
     if n <= most or step < 2:
         return rows
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    shared_folder(rows.sparkSession)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).checkpoint()
     sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     start = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
@@ -25,8 +27,8 @@ def decimate(rows: DataFrame, order: list[str], most: int = 2000) -> DataFrame:
 
 
 def random_sample(rows: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame:
-    """``size`` rows picked by the hash of their key, the same ones whenever the rows are the same."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(size)
+    """``size`` rows picked by the hash md5(seed:key), the same ones whenever the rows are the same. Null keys hash as the empty text."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), key).limit(size)
 
 
 def time_means(rows: DataFrame, time: str, value: str, millis: int) -> DataFrame:
