@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
-from datetime import datetime, timedelta
-from functools import reduce
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vistaframe.caches import SeriesCache
 from vistaframe.engine import Engine
-from vistaframe.ir import Filter
-from vistaframe.operators import dml, geo, sampling
+from vistaframe.functions.columns import similarity_jaccard, word_tokens
+from vistaframe.ir import Filter, Query
+from vistaframe.operators import geo, sampling
+from vistaframe.plans.lower import combine, conclude
 from vistaframe.plans.parser import parse
-from vistaframe.sources.readers import page_links
+from vistaframe.sources.readers import page_links, read, write_json
+from vistaframe.storage import shared_folder, write_by_time
+from vistaframe.streaming import ingest
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -146,8 +152,12 @@ ask("filter_bag_contains", {"dataset": "documents", "filter": [_flt("words", "co
 
 for unit in ("second", "minute", "hour", "day", "week", "month", "year"):
     ask(f"group_interval_{unit}", {"dataset": "events", "group": {"by": [_by("ts", "interval", "t", unit=unit)], "aggregate": [COUNT]}}, f"select date_trunc('{unit}', ts)::timestamp as t, count(*) as n from events group by 1")
-    if unit != "day":
+    if unit == "day":
+        ask("group_component_day", {"dataset": "events", "group": {"by": [_by("ts", "interval", "t", unit="day", mode="component")], "aggregate": [COUNT]}}, "select ts::date as t, count(*) as n from events group by 1")
+    else:
         ask(f"group_component_{unit}", {"dataset": "events", "group": {"by": [_by("ts", "interval", "t", unit=unit, mode="component")], "aggregate": [COUNT]}}, f"select {unit}(ts)::integer as t, count(*) as n from events group by 1")
+for unit, form in (("second", "%Y-%m-%d %H:%M:%S"), ("hour", "%Y-%m-%d %H"), ("day", "%Y-%m-%d"), ("month", "%Y-%m"), ("year", "%Y")):
+    ask(f"group_text_{unit}", {"dataset": "events", "group": {"by": [_by("ts", "interval", "t", unit=unit, mode="text")], "aggregate": [COUNT]}}, f"select strftime(ts, '{form}') as t, count(*) as n from events group by 1")
 for x, unit, width in ((6, "hour", "6 hours"), (2, "week", "14 days"), (3, "month", "3 months"), (2, "year", "24 months")):
     ask(f"group_interval_{x}{unit}", {"dataset": "orders", "group": {"by": [_by("o_orderdate", "interval", "t", unit=unit, x=x)], "aggregate": [COUNT]}}, f"select time_bucket(interval '{width}', o_orderdate, timestamp '1990-01-01') as t, count(*) as n from orders group by 1")
 ask("group_bin", {"dataset": "lineitem", "group": {"by": [_by("l_quantity", "bin", "bin", scale=10)], "aggregate": [COUNT]}}, "select round(l_quantity / 10) * 10 as bin, count(*) as n from lineitem group by 1")
@@ -226,8 +236,6 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     e = engine(spark, sf, ["events"])
     q, info = parse(_HOURS).queries[0], e.registry.info("events")
     width = (info.end - info.start) / 8
-    from vistaframe.plans.lower import combine, conclude
-
     parts, scope = [], None
     for i in range(8):
         more, scope = e._partials(q, info.start + width * i, info.end + timedelta(1) if i == 7 else info.start + width * (i + 1))
@@ -242,18 +250,41 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return a.select(F.lit("orders").alias("name"), "n").unionByName(b.select(F.lit("lineitem").alias("name"), "n"))
 
 
-def _viewed(spark: SparkSession, sf: str) -> Engine:
-    """Events with a view of those whose properties contain 1, up to ten days before the last."""
-    from vistaframe.ir import Query
-    from vistaframe.plans.planner import view_name
-    from vistaframe.registry import Info, Stats
+def _root(spark: SparkSession) -> str:
+    """A folder of its own below the shared one."""
+    return f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"
+
+
+def _frame(spark: SparkSession, rows: list[dict], like: DataFrame) -> DataFrame:
+    """JSON rows as a table of the same columns as ``like``."""
+    text = spark.createDataFrame([(json.dumps(r),) for r in rows], "value string")
+    return text.select(F.from_json("value", like.schema).alias("r")).select("r.*")
+
+
+@query("progressive_last", _HOURS_SQL)
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """The last of the answers that grow slice by slice."""
+    e = engine(spark, sf, ["events"])
+    end = (e.registry.info("events").end + timedelta(1)).isoformat()
+    q = _HOURS | {"filter": [_flt("ts", "<", end)]}
+    *_, last = e.progressive(q | {"option": {"sliceMillis": 2000}}, first=timedelta(days=10), least_hours=240)
+    return _rounded(_frame(spark, last["value"], e.query(q)), mean=9)
 
+
+@query("progressive_limit", "select event_id, ts from events where event_type != 'error' order by value desc, event_id limit 50 offset 10")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows in an order other than time's, a limit and an offset, slice by slice; only those that can still count are kept."""
     e = engine(spark, sf, ["events"])
-    view, info = Query("events", filter=(Filter("props", "contains", ("1",)),)), e.registry.info("events")
-    until, name = info.end - timedelta(days=10), view_name(Query("events", filter=(Filter("props", "contains", ("1",)),)))
-    rows = _table(spark, sf, "events").where(F.lower("props").contains("1") & (F.col("ts") < F.lit(str(until)).cast("timestamp_ntz")))
-    e.registry.tables[name] = rows
-    e.registry.put(Info(name, info.schema, info.start, until, Stats(until, until, until, 1), view))
+    end = (e.registry.info("events").end + timedelta(1)).isoformat()
+    q = {"dataset": "events", "filter": [_flt("event_type", "!=", "error"), _flt("ts", "<", end)], "select": _select(["event_id", "ts"], ["-value", "event_id"], 50, 10)}
+    *_, last = e.progressive(q | {"option": {"sliceMillis": 2000}}, first=timedelta(days=15), least_hours=360)
+    return _frame(spark, last["value"], e.query(q))
+
+
+def _viewed(spark: SparkSession, sf: str) -> Engine:
+    """Events with a view of those whose properties contain 1, up to ten days before the last."""
+    e = engine(spark, sf, ["events"], root=_root(spark))
+    e.create_view(Query("events", filter=(Filter("props", "contains", ("1",)),)), e.registry.info("events").end - timedelta(days=10))
     return e
 
 
@@ -265,11 +296,28 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("view_append", "select event_id, ts from events where lower(props) like '%1%'")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    """A view, and an upsert of all that came since."""
+    """A view, and what came since appended to it."""
+    e = _viewed(spark, sf)
+    view = e.refresh_view(e.registry.views("events")[0].name)
+    return e.registry.table(view.name).select("event_id", "ts")
+
+
+_ONES = {"dataset": "events", "filter": [_flt("props", "contains", "1")], "group": {"by": [_by("event_type")], "aggregate": [COUNT, _agg("user_id", "distinctCount", "users")]}}
+
+
+@query("delete_then_view", "select event_type, count(*) as n, count(distinct user_id) as users from events where lower(props) like '%1%' and not (value < 50) group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A view answers rightly after rows of its dataset have been deleted."""
     e = _viewed(spark, sf)
-    view = e.registry.views("events")[0]
-    late = engine(spark, sf, ["events"]).query({"dataset": "events", "filter": [_flt("props", "contains", "1"), _flt("ts", ">=", view.stats.modified.isoformat())]})
-    return dml.upsert(e.registry.table(view.name), late, ["event_id"]).select("event_id", "ts")
+    e.delete("events", [_flt("value", "<", 50)])
+    return e.query(_ONES)
+
+
+@query("upsert_then_view", "select case when event_id % 3 = 0 then 'new' else event_type end as event_type, count(*) as n, count(distinct user_id) as users from events where lower(props) like '%1%' group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    e = _viewed(spark, sf)
+    e.upsert("events", _table(spark, sf, "events").where("event_id % 3 = 0").withColumn("event_type", F.lit("new")))
+    return e.query(_ONES)
 
 
 @query("estimate_count", "select count(*) as n from events")
@@ -323,10 +371,23 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("tag_points", f"select p.vec_id, min(box) as box from {_POINTS} p left join {_BOXES} b on x between xmin and xmax and y between ymin and ymax group by 1")
 def _(spark: SparkSession, sf: str) -> DataFrame:
-    # the boxes are equally large but for rounding; whole numbers make them so
-    same = _boxes(spark, sf)
-    hits = geo.points_in_boxes(_points(spark, sf), same, 0.1).groupBy("vec_id").agg(F.min("box").alias("box"))
-    return _points(spark, sf).select("vec_id").join(hits, "vec_id", "left")
+    return geo.tag_points(_points(spark, sf), "vec_id", _boxes(spark, sf), "box", 0.1).select("vec_id", "box")
+
+
+@query("points_in_polygons", f"select vec_id, box from {_POINTS} p join {_BOXES} b on x > xmin and x < xmax and y > ymin and y < ymax and (x - xmin) / (xmax - xmin) + (y - ymin) / (ymax - ymin) < 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Points in the lower left half of each box, a triangle: boxes first, then the exact test."""
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    triangles = _boxes(spark, sf).withColumn("ring", F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmin", "ymax")))
+    return geo.within_polygons(geo.points_in_boxes(_points(spark, sf), triangles, 0.1)).select("vec_id", "box")
+
+
+@query("largest_parent", f"select a, b from (select a.box as a, b.box as b, row_number() over (partition by a.box order by round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)), 9) desc, b.box) as nth from {_BOXES} a join {_BOXES} b on a.box % 2 = b.box % 2 and a.box != b.box and a.xmin <= b.xmax and b.xmin <= a.xmax and a.ymin <= b.ymax and b.ymin <= a.ymax) where nth = 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the other boxes of the same parity the one with the largest area in common."""
+    boxes = _boxes(spark, sf).withColumn("parity", F.col("box") % 2)
+    pairs = geo.boxes_overlapping(boxes.withColumnRenamed("box", "a"), boxes.withColumnRenamed("box", "b"), "a", "b", 0.1, "parity").where("a != b")
+    return geo.best_parent(pairs, "a", "b")
 
 
 @query("box_overlap", f"select a.box as a, b.box as b, round((least(a.xmax, b.xmax) - greatest(a.xmin, b.xmin)) * (least(a.ymax, b.ymax) - greatest(a.ymin, b.ymin)), 6)::double as area from {_BOXES} a join {_BOXES} b on a.xmin <= b.xmax and b.xmin <= a.xmax and a.ymin <= b.ymax and b.ymin <= a.ymax")
@@ -360,11 +421,66 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(sampling.time_means(_table(spark, sf, "events"), "ts", "value", 3_600_000), mean=9).withColumn("bucket", F.col("bucket").cast("timestamp_ntz"))
 
 
-@query("random_sample")
+@query("decimate_extra_column", "select event_id, ts, user_id, event_type, value, props from (select *, row_number() over (order by ts, event_id) - 1 as pos, count(*) over () as n from events) where n <= 150 or n // 150 < 2 or pos % (n // 150) = 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    return sampling.decimate(_table(spark, sf, "events"), ["ts", "event_id"], 150)
+
+
+@query("random_sample", "select event_id, ts from events order by md5('0:' || event_id), event_id limit 200")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.random_sample(_table(spark, sf, "events").select("event_id", "ts"), "event_id", 200)
 
 
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w != ''))"
+
+
+@query("word_similarity", f"select a.p_partkey as a, b.p_partkey as b, round(len(list_intersect({_TOKENS.format('a.p_name')}, {_TOKENS.format('b.p_name')})) / len(list_distinct(list_concat({_TOKENS.format('a.p_name')}, {_TOKENS.format('b.p_name')}))), 9) as similarity from part a join part b on a.p_brand = b.p_brand and a.p_partkey < b.p_partkey and b.p_partkey - a.p_partkey < 50")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """How alike the names of parts of a brand are that have near keys."""
+    part = _table(spark, sf, "part").select("p_partkey", "p_brand", word_tokens(F.col("p_name")).alias("w"))
+    a, b = part.select(F.col("p_partkey").alias("a"), "p_brand", F.col("w").alias("x")), part.select(F.col("p_partkey").alias("b"), "p_brand", F.col("w").alias("y"))
+    pairs = a.join(b, "p_brand").where("a < b and b - a < 50")
+    return _rounded(pairs.select("a", "b", similarity_jaccard(F.col("x"), F.col("y")).alias("similarity")), similarity=9)
+
+
+@query("series_count_map", "select region, sum(case when day between date '1994-01-01' and date '1995-12-31' then n else 0 end)::bigint as count, any_value(population) as population from (select c_nationkey as region, o_orderdate::date as day, count(*) as n from orders join customer on o_custkey = c_custkey where c_nationkey in (1, 2, 3, 7, 11) and o_orderdate < timestamp '1997-01-01' group by 1, 2) left join (select n_nationkey as region, n_regionkey * 1000 as population from nation) using (region) group by 1")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Daily counts of some regions are kept; those of two years come from what is held."""
+    cache, ids, population = SeriesCache(), [1, 2, 3, 7, 11], _table(spark, sf, "nation").selectExpr("n_nationkey as region", "n_regionkey * 1000 as population")
+    q = {"dataset": "orders", "lookup": [_CUST], "filter": [_flt("o_orderdate", "<", "1997-01-01T00:00:00.000Z"), _flt("nation", "in", *ids)], "group": {"by": [_by("nation", name="region"), _by("o_orderdate", "interval", "day", unit="day")], "aggregate": [_agg("*", "count", "count")]}}
+    start, end = date(1970, 1, 1), date(1996, 12, 31)
+    assert cache.missing(["all"], "nation", start, end, ids) == ids
+    cache.put(ids, engine(spark, sf, ["orders", "customer"]).query(q), start, end)
+    assert cache.missing(["all"], "nation", date(1994, 1, 1), end, [1, 11]) == []
+    return cache.count_map(ids, date(1994, 1, 1), date(1995, 12, 31), population)
+
+
+@query("json_round_trip", "select event_id, ts, value, props from events where user_id % 2 = 0")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows written as JSON and read again under the declared types."""
+    rows = _table(spark, sf, "events").where("user_id % 2 = 0").select("event_id", "ts", "value", "props")
+    path = f"{_root(spark)}/rows"
+    write_json(rows, path)
+    return read(spark, "json", path, rows.schema)
+
+
+@query("time_layout", "select event_id, ts from events where ts >= timestamp '2024-01-05' and ts < timestamp '2024-01-08 12:00:00'")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    """A slice of a table that is written in order of time, in folders of days of which it opens four."""
+    path = f"{_root(spark)}/events"
+    rows = _table(spark, sf, "events")
+    write_by_time(rows, path, F.col("ts"))
+    e = Engine(spark)
+    e.register({"dataset": "events", "schema": SCHEMAS["events"]}, path)
+    return e.query({"dataset": "events", "filter": [_flt("ts", "inRange", "2024-01-05T00:00:00.000Z", "2024-01-08T12:00:00.000Z")], "select": _select(["event_id", "ts"])})
+
+
+@query("ids_probe", "select l_orderkey, l_linenumber from lineitem where l_partkey in (select p_partkey from part where p_size < 10)")
+def _(spark: SparkSession, sf: str) -> DataFrame:
+    ids = _table(spark, sf, "part").where("p_size < 10").selectExpr("p_partkey as l_partkey")
+    return geo.in_ids(_table(spark, sf, "lineitem"), "l_partkey", ids).select("l_orderkey", "l_linenumber")
+
+
 @query("page_links", """select page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href\\s*=\\s*["'']([^"'']+)["'']', 1)) as href from pages""")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     return page_links(spark.read.parquet(f"{sf}/pages.parquet"))
@@ -373,16 +489,11 @@ def _(spark: SparkSession, sf: str) -> DataFrame:
 @query("stream_tumbling", "select to_timestamp(floor(epoch(ts) / 21600) * 21600)::timestamp as bin, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def _(spark: SparkSession, sf: str) -> DataFrame:
     """Events replayed as a stream; the aggregates of all bins land in a table of the shared folder."""
-    import uuid
-
-    from vistaframe.storage import shared_folder
-    from vistaframe.streaming import ingest
-
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    folder = shared_folder(spark)
-    base = f"{folder}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     source = spark.read.parquet(f"{sf}/events.parquet")
-    feed = spark.readStream.schema(source.schema).option("pathGlobFilter", "events*.parquet").parquet(sf) if not _is_dir(spark, f"{sf}/events.parquet") else ingest.file_feed(spark, f"{sf}/events.parquet", source.schema)
+    folder, pattern = (f"{sf}/events.parquet", None) if _is_dir(spark, f"{sf}/events.parquet") else (sf, "events*.parquet")
+    feed = ingest.file_feed(spark, folder, source.schema, pattern=pattern)
     bins = ingest.tumbling(feed, "ts", "6 hours", ["event_type"], {"n": F.count(F.lit(1)), "total": F.sum("value")}, "3650 days")
     ingest.drain(bins, lambda batch, nth: batch.write.mode("overwrite").parquet(f"{base}/bins"), f"{base}/checkpoint", "complete")
     return _rounded(spark.read.parquet(f"{base}/bins"), total=4).withColumn("bin", F.col("bin").cast("timestamp_ntz"))
