@@ -1,10 +1,16 @@
+import math
 import random
+import re
 import textwrap
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from vistaframe.llm.licenses import TEMPLATES, license_scan
-from vistaframe.llm.quality import quality_scores
+from vistaframe.llm.licenses import FAMILIES, TEMPLATES, judge, license_scan, sample_paragraphs, similarity, train
+from vistaframe.llm.quality import BITS, quality_scores, score_with
+from vistaframe.llm.text import Words, ngram_hash
 
 DOCS = "doc_id long, text string, extra string"
 
@@ -34,6 +40,24 @@ def test_quality_on_the_labelled_table(spark):
     assert both.agg(F.avg(((F.col("score") > 0.5).cast("int") == F.col("quality")).cast("int"))).first()[0] > 0.85
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Every document of the smallest table, word by word under given weights; Counter and floats instead of arrays."""
+    weights = np.random.default_rng(1).normal(size=(1 << BITS) + 1).astype(np.float32)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r["doc_id"]: (r["score"], r["keep"]) for r in score_with(docs, weights, 0.6).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert got.keys() == {r["doc_id"] for r in rows}
+    for r in rows:
+        words = re.findall("[a-z0-9\x80-\U0010ffff]+", (r["text"] or "").lower())
+        h = Words(pa.array([" ".join(words)])).hash
+        assert len(h) == len(words)
+        counts = Counter(int(x) % (1 << BITS) for x in h) + Counter(int(x) % (1 << BITS) for x in ngram_hash(h, 2))
+        total = sum(counts.values())
+        dot = sum(c * float(weights[i]) for i, c in counts.items()) / math.sqrt(max(1, total)) + float(weights[-1])
+        score = 1 / (1 + math.exp(-dot))
+        assert abs(got[r["doc_id"]][0] - score) < 1e-6 and (got[r["doc_id"]][1] == (score >= 0.6) or abs(score - 0.6) < 1e-6)
+
+
 def test_quality_edges(spark):
     rows = [(1, None, None), (2, "", "x"), (None, "good words", "x"), (3, "long " * 100_000, "x"), (3, "long " * 100_000, "x")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as score", "2 as y", "3 as q")
@@ -81,6 +105,50 @@ def test_licenses_across_and_within_lines(spark):
     assert all(x["similarity"] >= 0.9 for x in found)
 
 
+def test_license_lines_by_brute_force(spark):
+    """What the scan says of single lines follows from the trained weights, the share of a template's word pairs, and the two thresholds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(2)
+    lines = [t for ts in TEMPLATES.values() for t in ts] + [" ".join(w for w in t.split() if r.random() > 0.4) for ts in TEMPLATES.values() for t in ts]
+    lines += ["Proprietary and confidential.", "plain words of no licence", "Licensed", "MIT"]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(lines)], "doc_id long, text string"))
+    w, heat = train(sample_paragraphs(both, 300, 2000))
+    assert 0.25 <= heat <= 2.0
+    found = {x["doc_id"] - 10**6: x for x in license_scan(both).where("doc_id >= 1000000").collect()}
+    for i, t in enumerate(lines):
+        words = re.findall("[a-z0-9\x80-\U0010ffff]+", t.lower())
+        h = Words(pa.array([" ".join(words)])).hash
+        x = [int(v) % (1 << BITS) for v in (*h, *ngram_hash(h, 2))]
+        if not x:
+            assert i not in found
+            continue
+        p = 1 / (1 + np.exp(-(w[x].astype(float).sum(0) / math.sqrt(len(x)) + w[-1]) / heat))
+        best = max((f for f in FAMILIES if f != "unknown"), key=lambda f: (p[FAMILIES.index(f)], -FAMILIES.index(f)))
+        pairs = set(zip(words, words[1:]))
+        shares = []
+        for template in TEMPLATES[best]:
+            tw = re.findall("[a-z0-9\x80-\U0010ffff]+", template.lower())
+            want = set(zip(tw, tw[1:]))
+            shares.append(len(want & pairs) / max(1, len(want)))
+        assert abs(similarity(t, best) - max(shares)) < 1e-12
+        said = judge(p, t, 0.5, 0.6)
+        assert (said is None) == (i not in found) or i in found and said is None and found[i]["similarity"] >= 0.6
+        if said and i in found:
+            assert found[i]["family"] == FAMILIES[said[0]] and abs(found[i]["probability"] - said[1]) < 1e-4
+    assert sum(i in found for i in range(len(lines))) > 20
+
+
+def test_license_ties_and_sample(spark):
+    p = np.full(len(FAMILIES), 0.9)
+    k, chance, like = judge(p, max(TEMPLATES[FAMILIES[0]], key=len), 0.5, 0.6)
+    assert (FAMILIES[k], chance, like) == (FAMILIES[0], 0.9, 1.0)  # of equally likely families the first by name
+    rows = [(i // 2, f"line {i}\nsame line\n\n  ", None) for i in range(40)] + [(None, "no id", None), (99, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    some = sample_paragraphs(docs, 5, 1000)
+    assert len(some) == 11 and "same line" in some and some == sample_paragraphs(docs.repartition(7), 5, 1000)
+    assert len(sample_paragraphs(docs, 100, 7)) == 7 and sample_paragraphs(docs.limit(0), 5, 5) == []
+
+
 def test_license_edges(spark):
     rows = [(1, None, None), (2, "", None), (None, LINES["mit"], None), (3, " ".join(f"word{i}" for i in range(50_000)) + "\n" + LINES["mit"], None), (4, LINES["mit"], "a"), (4, LINES["mit"], "a")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as family", "2 as paragraph")

@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vistaframe.llm.quality import ftrl
+from vistaframe.llm.shared import cut
 from vistaframe.llm.text import Words, chunks, ngram_hash
 
 BITS = 18
@@ -81,13 +83,13 @@ def train(paragraphs: list[str], bits: int = BITS, variants: int = 40, seed: int
     """One-against-rest weights, (2**bits + 1) x families, and the temperature that calibrates them.
 
     Examples are the templates and notices with words dropped or swapped for words of the corpus, and, as
-    examples of none, paragraphs of the corpus that share no template's wording. The temperature is the one
+    examples of none, all the given paragraphs that share no template's wording. The temperature is the one
     that gives held-out variants the least log loss.
     """
     rng = np.random.default_rng(seed)
     grams = {g for ts in TEMPLATES.values() for t in ts for g in zip(_tokens(t), _tokens(t)[1:])}
-    plain = [p for p in paragraphs if not grams & set(zip(_tokens(p), _tokens(p)[1:]))][:2000]
-    filler = [w for p in plain for w in p.split()][:20_000] or ["of"]
+    plain = [p for p in paragraphs if not grams & set(zip(_tokens(p), _tokens(p)[1:]))]
+    filler = [w for p in plain for w in p.split()] or ["of"]
     texts, y = [], []
     for k, family in enumerate(FAMILIES):
         for t in OTHER if family == "unknown" else TEMPLATES[family]:
@@ -166,7 +168,27 @@ class Windows:
         return sorted(out, key=lambda x: (-x[0], x[3] - x[4], x[3], x[1]))
 
 
-def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5, confirm: float = 0.6, bits: int = BITS) -> DataFrame:
+def sample_paragraphs(docs: DataFrame, sample_docs: int, sample_lines: int) -> list[str]:
+    """At most ``sample_lines`` lines of the documents with the ``sample_docs`` smallest hashes of their ids, those with the smallest hashes; whole documents are read, and only ids are sorted over the whole table."""
+    ids = docs.where("doc_id is not null and text is not null").select("doc_id").distinct()
+    ids = cut(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs))
+    lines = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.explode(F.split("text", "\n")).alias("line")).where("line rlike '\\\\S'")
+    return [r["line"] for r in lines.distinct().orderBy(F.xxhash64("line"), "line").limit(sample_lines).collect()]
+
+
+def judge(p: np.ndarray, text: str, certain: float, confirm: float) -> tuple[int, float, float] | None:
+    """(family, probability, similarity) of a line with the probabilities ``p``, of which the last is that of an unknown notice; None if it is no notice."""
+    known = len(p) - 1
+    k = int(p[:known].argmax())
+    like = similarity(text, FAMILIES[k])
+    if p[k] >= certain and like >= confirm:
+        return k, float(p[k]), like
+    if p[known] >= certain or p[k] >= certain and like > 0.2:
+        return known, float(p.max()), like
+    return None
+
+
+def license_scan(docs: DataFrame, sample_docs: int = 300, sample_lines: int = 2000, certain: float = 0.5, confirm: float = 0.6, bits: int = BITS) -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity): the paragraphs of docs that carry a licence notice.
 
     A paragraph is a line, or the lines that a window of words touches; paragraph is the number of the first from 0
@@ -176,13 +198,12 @@ def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5,
     the model finds the template's family the likeliest and at least ``certain``, and none of its lines is already
     reported under that family; lines that it touches aren't reported as unknown then. A line whose likeliest family is at least ``certain`` and has ``confirm`` of a template's word pairs is reported
     under that family; one that the model holds for a notice, but whose template doesn't confirm it, as unknown.
-    ``sample_docs`` bounds the documents whose lines serve as examples of no licence. Null and empty texts have
+    ``sample_docs`` bounds the documents, and ``sample_lines`` their lines, that serve as examples of no licence
+    (see ``sample_paragraphs``); scanning reads every line of every text. Null and empty texts have
     no lines to report, repeated rows report each, doc_id may be null, an empty table gives none. Of equally
     likely families the first by name counts.
     """
-    some = docs.where("doc_id is not null and text is not null").select("doc_id", "text").orderBy("doc_id", "text").limit(sample_docs)
-    lines = [p for r in some.selectExpr("substring(text, 1, 4000) t").collect() for p in r["t"].split("\n") if p.strip()]
-    w, temperature = train(lines, bits)
+    w, temperature = train(sample_paragraphs(docs, sample_docs, sample_lines), bits)
     shared = docs.sparkSession.sparkContext.broadcast((w, np.abs(w[:-1]).sum(1) > 0, temperature))
     windows = Windows(confirm, bits)
 
@@ -215,13 +236,8 @@ def license_scan(docs: DataFrame, sample_docs: int = 300, certain: float = 0.5,
                 for i, r in zip(hit, row):
                     stop = int(min(starts[i + 1] if i + 1 < len(starts) else len(data), off[r + 1]))
                     text = data[starts[i] : stop].tobytes().decode("utf-8", "replace")
-                    k = int(p[i, :known].argmax())
-                    like = similarity(text, FAMILIES[k])
-                    sure = p[i, k] >= certain and like >= confirm
-                    if sure:
-                        found.append((int(r), int(i), k, float(p[i, k]), like))
-                    elif p[i, known] >= certain or p[i, k] >= certain and like > 0.2:
-                        found.append((int(r), int(i), known, float(p[i].max()), like))
+                    if (said := judge(p[i], text, certain, confirm)) is not None:
+                        found.append((int(r), int(i), *said))
                 reported: dict[int, set[int]] = {}
                 for _, i, k, *_ in found:
                     reported.setdefault(i, set()).add(k)

@@ -69,8 +69,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int =
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
         .select("doc_id", (F.col("q") >= 0.5).cast("int").alias("y"))
     )
-    # at most max_train rows, so the broadcast is of bounded size
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # at most max_train rows, so the broadcast is of bounded size; of several texts of one id the one with the smallest hash counts
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     schema = "y int, index binary, value binary, h long"
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +101,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int =
     return (np.frombuffer(w, np.float32), found[0]["threshold"]) if w else (np.zeros((1 << bits) + 1, np.float32), 0.5)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int = BITS) -> DataFrame:
-    """(doc_id, score, keep) for every row of docs; score is the probability of good quality.
-
-    Null and empty texts have no n-grams and get the bias alone; texts of any length are scored whole;
-    repeated rows are scored alike; doc_id may be null; other columns are not read; an empty table gives none.
-    Row order and ties play no part in scoring.
-    """
-    w, threshold = train(docs, labels, max_train, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((w, threshold))
+def score_with(docs: DataFrame, weights: np.ndarray, threshold: float, bits: int = BITS) -> DataFrame:
+    """(doc_id, score, keep) under given weights: the sparse dot product of a text's counts of words and word pairs, over the root of their number, as a probability."""
+    shared = docs.sparkSession.sparkContext.broadcast((weights, threshold))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, least = shared.value
@@ -125,5 +119,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bi
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double, keep boolean")
 
 
+def quality_scores(docs: DataFrame, labels: DataFrame, max_train: int = 6000, bits: int = BITS) -> DataFrame:
+    """(doc_id, score, keep) for every row of docs; score is the probability of good quality.
+
+    Null and empty texts have no n-grams and get the bias alone; texts of any length are scored whole;
+    repeated rows are scored alike; doc_id may be null; other columns are not read; an empty table gives none.
+    Row order and ties play no part in scoring.
+    """
+    return score_with(docs, *train(docs, labels, max_train, bits), bits)
+
+
 def op1_quality(spark, sf_dir: str) -> DataFrame:
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
