@@ -1,6 +1,9 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
+from vistaframe.llm import neighbours
 from vistaframe.llm.neighbours import clean, masks, nearest, plan, sure_cosine, within_radius
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -40,6 +43,48 @@ def test_recall_with_a_common_offset(spark, offset):
     assert np.mean([len(found[i] & w) / 10 for i, w in enumerate(want)]) >= 0.95
 
 
+def test_copies_and_ties(spark):
+    """A vector equally near to 300 others gets the smallest ids, within a group of copies and between different vectors."""
+    rng = np.random.default_rng(2)
+    axis = np.zeros(64)
+    axis[0] = 1
+    other = np.eye(64)[1:]
+    ring = [(axis + other[i % 63] * (1 if i < 63 else -1)) / np.sqrt(2) for i in range(126)]  # all at the same angle to the axis
+    x = [axis, *ring, *[ring[5]] * 100, *[v for v in rng.normal(size=(300, 64)) - 3 * axis], axis, axis]
+    df = spark.createDataFrame([(i, [float(f) for f in v], 0) for i, v in enumerate(x)], SCHEMA)
+    found: dict[int, list[int]] = {}
+    for r in nearest(df, k=10, turns=2, queries=F.col("vec_id") % 100 == 0).orderBy("vec_id", "rank").collect():
+        found.setdefault(r["vec_id"], []).append(r["neighbour"])
+    assert found.keys() == {0, 100, 200, 300, 400, 500}
+    assert found[0] == [527, 528, *range(1, 9)]
+    assert found[200] == [6, *range(127, 136)]  # a copy of ring[5] itself
+
+
+def test_settled_by_codes_alone(spark):
+    """Tight clusters: no query needs the exact search, and recall is measured against brute force."""
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(200, 64))[np.repeat(np.arange(200), 20)] + 0.15 * rng.normal(size=(4000, 64))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)
+    before = neighbours._compare
+    neighbours._compare = None  # it must not be called
+    try:
+        found: dict[int, set[int]] = {}
+        for r in nearest(df, k=10, turns=3, queries=F.col("vec_id") % 10 == 0, fit_rows=1000).collect():
+            found.setdefault(r["vec_id"], set()).add(r["neighbour"])
+    finally:
+        neighbours._compare = before
+    want = brute_force(x.astype(float), 10)
+    assert len(found) == 400 and np.mean([len(found[i] & want[i]) / 10 for i in found]) >= 0.95
+
+
+def test_plan_has_no_cross_join(spark, capsys):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(300, 16)))], SCHEMA)
+    nearest(df, k=3, turns=1, queries=F.col("vec_id") % 10 == 0).explain()
+    out = capsys.readouterr().out
+    assert "Physical Plan" in out and "Cartesian" not in out and "NestedLoop" not in out
+
+
 def test_every_code_within_the_radius(spark):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 62, 6)
@@ -47,7 +92,7 @@ def test_every_code_within_the_radius(spark):
     df = spark.createDataFrame([(i, int(c)) for i, c in enumerate(codes)], "vec_id long, code long")
     differ = np.bitwise_count((codes[:, None] ^ codes[None]).view(np.uint64))
     for radius, rows in ((3, 306), (7, 1 << 20)):
-        got = [(r["vec_id"], r["neighbour"]) for r in within_radius(df, 64, radius, rows).collect()]
+        got = [(r["vec_id"], r["neighbour"]) for r in within_radius(df, df, 64, radius, rows).collect()]
         want = {(i, j) for i, j in zip(*np.nonzero(differ <= radius)) if i != j}
         assert len(got) == len(set(got)) and set(got) == want
 

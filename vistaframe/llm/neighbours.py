@@ -2,9 +2,10 @@
 
 A rotation learned on all vectors turns each into a code of up to 64 signs. Codes are split into substrings, and a
 table for each substring finds every code within the Hamming radius (if two codes differ in ``radius`` digits at
-most, some substring differs in its share at most), whose floats then decide. A row whose k-th neighbour found so
-is near enough that the radius can hardly have missed a nearer one is settled (see ``settled_rows``); the others,
-for which the radius is too small, are compared with all vectors, block by block.
+most, some substring differs in its share at most), whose floats then decide. A query whose k-th neighbour found so
+is near enough that the radius can hardly have missed a nearer one is settled (see ``settled_rows``); the others
+go on to the next larger radius, and those that the largest one doesn't settle are compared with all vectors, block
+by block. Equal vectors are indexed and searched as one.
 """
 
 from __future__ import annotations
@@ -15,13 +16,17 @@ from math import acos, comb, cos, pi
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs
+import pyarrow.parquet
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vistaframe.llm.shared import cut, maybe_broadcast
+from vistaframe.llm.shared import cut, fresh_path, maybe_broadcast
 
-SHARE = 15 / 64
+SHARES = (15 / 64, 19 / 64)
+FIT_ROWS = 200_000
 BLOCK_ROWS, QUERY_ROWS = 16_384, 4_096
+GROUP_ROWS = 1 << 21
 
 
 def _floats(column) -> np.ndarray:
@@ -64,7 +69,7 @@ def _summed(vectors: DataFrame, of) -> np.ndarray:
 
 
 def rotation(vectors: DataFrame, dims: int, turns: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, matrix): principal directions, turned until the signs lose least (iterative quantisation). Every turn reads all vectors."""
+    """(mean, matrix): principal directions, turned until the signs lose least (iterative quantisation). Every turn reads the vectors again."""
 
     def moments(x: np.ndarray) -> np.ndarray:
         return np.vstack([x.T @ x, x.sum(0), np.full(dims, float(len(x)))])
@@ -112,6 +117,8 @@ def _probe(tables: list[tuple[int, int, int]], prefix_bits: int, radius: int):
         offset, length, reach = tables[nth]
         low_bits = length - prefix_bits
         asks = table.column("asks").to_numpy()
+        if not asks.any():
+            return pa.table({"vec_id": np.empty(0, np.int64), "neighbour": np.empty(0, np.int64)})
         ids, codes = table.column("vec_id").to_numpy(), table.column("code").to_numpy().view(np.uint64)
         sub = codes >> np.uint64(offset) & np.uint64((1 << length) - 1)
         low, high = sub & np.uint64((1 << low_bits) - 1), sub >> np.uint64(low_bits)
@@ -145,22 +152,28 @@ def _probe(tables: list[tuple[int, int, int]], prefix_bits: int, radius: int):
     return run
 
 
-def within_radius(codes: DataFrame, bits: int, radius: int, rows: int) -> DataFrame:
-    """(vec_id, neighbour): all ordered pairs of different ids whose codes (vec_id, code) differ in ``radius`` digits at most."""
+def within_radius(codes: DataFrame, queries: DataFrame, bits: int, radius: int, rows: int) -> DataFrame:
+    """(vec_id, neighbour): all pairs of a query and another id whose codes differ in ``radius`` digits at most. Both tables are (vec_id, code).
+
+    Codes that fall to one key of a table are spread over salts, to which the queries go in copies, so that no group
+    grows with the number of codes that are alike.
+    """
     tables = plan(bits, radius, rows)
     prefix_bits = max(0, min(min(s for _, s, _ in tables) - 1, int(np.log2(max(2, rows))) - 13, 12))
+    salts = -(-rows // GROUP_ROWS)
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("long")
     sent = None
     for nth, (offset, length, reach) in enumerate(tables):
         if reach < 0:
             continue
         prefix = F.shiftrightunsigned("code", offset + length - prefix_bits).bitwiseAND((1 << prefix_bits) - 1) if prefix_bits else F.lit(0).cast("long")
         key = F.lit(nth << prefix_bits).cast("long")
-        kept = codes.select((key + prefix).alias("key"), "vec_id", "code", F.lit(False).alias("asks"))
+        kept = codes.select((key + prefix).alias("key"), salt.alias("salt"), "vec_id", "code", F.lit(False).alias("asks"))
         reached = F.explode(F.array(*[prefix.bitwiseXOR(F.lit(int(x)).cast("long")) for x in masks(prefix_bits, reach)]))
-        asking = codes.select(reached.alias("p"), "vec_id", "code").select((key + F.col("p")).alias("key"), "vec_id", "code", F.lit(True).alias("asks"))
+        asking = queries.select(reached.alias("p"), "vec_id", "code").select((key + F.col("p")).alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "vec_id", "code", F.lit(True).alias("asks"))
         part = kept.unionByName(asking)
         sent = part if sent is None else sent.unionByName(part)
-    return sent.groupBy("key").applyInArrow(_probe(tables, prefix_bits, radius), "vec_id long, neighbour long")
+    return sent.groupBy("key", "salt").applyInArrow(_probe(tables, prefix_bits, radius), "vec_id long, neighbour long")
 
 
 def sure_cosine(bits: int, radius: int, sure: float = 0.95) -> float:
@@ -221,45 +234,68 @@ def _blocks(rows: int):
     return run
 
 
-def _compare(k: int, dims: int):
-    """The k nearest of a block of vectors to each of a block of queries."""
+def _compare(path: str, k: int):
+    """The k nearest of a block of vectors to each query, ties by id; the queries are read block by block from ``path``."""
+
+    def best(qi: np.ndarray, q: np.ndarray, di: np.ndarray, d: np.ndarray) -> pa.RecordBatch:
+        out = []
+        d32, some = d.astype(np.float32).T, min(k + 1, len(di))
+        for at in range(0, len(qi), 256):
+            near = q[at : at + 256].astype(np.float32) @ d32
+            # all that rounding could put among the k nearest besides the query itself
+            least = np.partition(near, len(di) - some, axis=1)[:, len(di) - some] - 1e-5
+            i, j = np.nonzero(near >= least[:, None])
+            other = qi[at + i] != di[j]
+            i, j = i[other], j[other]
+            score = np.round(np.einsum("ij,ij->i", q[at + i], d[j]), 6)
+            order = np.lexsort((di[j], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            first = np.searchsorted(i, i)
+            kept = np.arange(len(i)) - first < k
+            out.append((qi[at + i[kept]], di[j[kept]], score[kept]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["vec_id", "neighbour", "cosine"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                qi, di = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                q, d = np.frombuffer(r["q_floats"]).reshape(-1, dims), np.frombuffer(r["floats"]).reshape(-1, dims)
-                d32 = d.astype(np.float32).T
-                some = min(k + 8, len(di))
-                for at in range(0, len(qi), 512):
-                    near = q[at : at + 512].astype(np.float32) @ d32
-                    best = np.argpartition(-near, some - 1, axis=1)[:, :some]
-                    exact = np.einsum("ij,ikj->ik", q[at : at + 512], d[best])
-                    who = np.repeat(qi[at : at + 512], some)
-                    other, score = di[best].ravel(), exact.ravel()
-                    ok = who != other
-                    yield pa.RecordBatch.from_arrays([pa.array(who[ok]), pa.array(other[ok]), pa.array(score[ok])], ["vec_id", "neighbour", "cosine"])
+        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        files = sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(root)) if f.path.endswith(".parquet"))
+        for block in _blocks(BLOCK_ROWS)(batches):
+            di = np.frombuffer(block.column(0)[0].as_py(), np.int64)
+            d = np.frombuffer(block.column(1)[0].as_py()).reshape(len(di), -1)
+            for file in files:
+                with fs.open_input_file(file) as f:
+                    queries = pyarrow.parquet.ParquetFile(f)
+                    for asked in queries.iter_batches(batch_size=1):
+                        qi = np.frombuffer(asked.column(0)[0].as_py(), np.int64)
+                        yield best(qi, np.frombuffer(asked.column(1)[0].as_py()).reshape(len(qi), -1), di, d)
 
     return run
 
 
-def nearest(vectors: DataFrame, k: int = 10, share: float = SHARE, turns: int = 8) -> DataFrame:
-    """(vec_id, neighbour, cosine, rank): the ``k`` nearest other rows of every row by cosine, rank 1 first; ties by id.
+def nearest(vectors: DataFrame, k: int = 10, shares: tuple[float, ...] = SHARES, turns: int = 8, queries: Column | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(vec_id, neighbour, cosine, rank): the ``k`` nearest other rows by cosine of every row, or of those for which ``queries`` holds, rank 1 first; ties by id.
 
-    ``share`` is the Hamming radius as a share of the code's digits. Rows that the radius doesn't settle are
-    searched exactly; which are settled is decided in the space of the codes (see ``settled_rows``), so an offset
-    that all vectors share doesn't matter. Cosines are rounded to 6 digits. For rows that are left out, and for repeated ids, see ``clean``. A table of one row or none gives none;
-    other columns are not read.
+    ``shares`` are the Hamming radii as shares of the code's digits, in ascending order. Queries that no radius settles
+    are searched exactly, all of them in one pass over the vectors; which are settled is decided in the space of the codes (see ``settled_rows``), so an offset
+    that all vectors share doesn't matter. The rotation is fitted on about ``fit_rows`` vectors, chosen by a hash of the id; all are indexed. Cosines are rounded to 6 digits. For rows that are left out, and for repeated ids, see ``clean``. A table of one row or none gives none;
+    other columns are not read. Copies of a vector are one in the index, so a group of them costs no more than its k + 1 smallest ids.
     """
     spark = vectors.sparkSession
-    unit = clean(vectors)
-    rows = unit.count()
-    if rows < 2:
-        return spark.createDataFrame([], "vec_id long, neighbour long, cosine double, rank int")
-    dims = len(unit.first()["embedding"])
-    mean, matrix = rotation(unit, dims, turns)
+    nothing = "vec_id long, neighbour long, cosine double, rank int"
+    same = [F.xxhash64("embedding").alias("s1"), F.xxhash64(F.lit(1), "embedding").alias("s2")]
+    unit = cut(clean(vectors).select("vec_id", "embedding", *same))
+    if unit.count() < 2:
+        return spark.createDataFrame([], nothing)
+    copies = Window.partitionBy("s1", "s2").orderBy("vec_id")
+    few = cut(unit.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1))
+    index = few.where("nth = 1").select("vec_id", "embedding")
+    rep = few.where("nth = 1").select("s1", "s2", F.col("vec_id").alias("rep"))
+    members = few.select("s1", "s2", F.col("vec_id").alias("member")).join(rep, ["s1", "s2"]).select("rep", "member")
+    asking = cut((unit if queries is None else unit.where(queries)).select("vec_id", "s1", "s2").join(rep, ["s1", "s2"]).select("vec_id", "rep"))
+    rows = index.count()
+    dims = len(index.first()["embedding"])
+    sample = index if rows <= fit_rows else cut(index.where(F.pmod(F.xxhash64("vec_id"), F.lit(rows)) < fit_rows))
+    mean, matrix = rotation(sample, dims, turns)
     bits = matrix.shape[1]
-    radius = max(1, int(bits * share))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.uint64(1) << np.arange(bits, dtype=np.uint64)
@@ -268,30 +304,45 @@ def nearest(vectors: DataFrame, k: int = 10, share: float = SHARE, turns: int =
             code = ((x > 0) * weight).sum(1, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(code), pa.array((x * x).sum(1))], ["vec_id", "code", "size"])
 
-    codes = cut(unit.mapInArrow(encode, "vec_id long, code long, size double"))
-    pairs = within_radius(codes, bits, radius, rows)
-    x, y = unit.select("vec_id", F.col("embedding").alias("x")), unit.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("y"))
-    near = pairs.join(x, "vec_id").join(y, "neighbour").select("vec_id", "neighbour", "x", "y").mapInArrow(_cosines, "vec_id long, neighbour long, cosine double")
+    codes = cut(index.mapInArrow(encode, "vec_id long, code long, size double"))
     first = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour")
-    score = F.round("cosine", 6).alias("cosine")
-    near = cut(near.select("vec_id", "neighbour", score).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k))
-    settled = cut(settled_rows(near, codes, k, bits, radius))
-    settled = maybe_broadcast(settled, settled.count())
-    rest = unit.join(settled, "vec_id", "left_anti")
-    blob = "ids binary, floats binary"
-    queries = rest.mapInArrow(_blocks(QUERY_ROWS), blob).select(F.col("ids").alias("q_ids"), F.col("floats").alias("q_floats"))
-    against = unit.coalesce(max(1, rows // BLOCK_ROWS)).mapInArrow(_blocks(BLOCK_ROWS), blob)
-    exact = cut(queries).crossJoin(cut(against)).mapInArrow(_compare(k, dims), "vec_id long, neighbour long, cosine double")
-    exact = exact.select("vec_id", "neighbour", score).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
-    return near.join(settled, "vec_id", "left_semi").select("vec_id", "neighbour", "cosine", "rank").unionByName(exact.select("vec_id", "neighbour", "cosine", "rank"))
+    x, y = index.select("vec_id", F.col("embedding").alias("x")), index.select(F.col("vec_id").alias("neighbour"), F.col("embedding").alias("y"))
+    open_ids = asking.select(F.col("rep").alias("vec_id")).distinct()
+    found = spark.createDataFrame([], "vec_id long, neighbour long, cosine double")
+    for share in shares:
+        radius = max(1, int(bits * share))
+        open_ids = cut(open_ids)
+        left = open_ids.count()
+        if not left:
+            break
+        asked = codes.select("vec_id", "code", "size").join(maybe_broadcast(open_ids, left), "vec_id", "left_semi")
+        pairs = within_radius(codes.select("vec_id", "code"), asked.select("vec_id", "code"), bits, radius, rows)
+        near = pairs.join(x, "vec_id").join(y, "neighbour").select("vec_id", "neighbour", "x", "y").mapInArrow(_cosines, "vec_id long, neighbour long, cosine double")
+        near = cut(near.select("vec_id", "neighbour", F.round("cosine", 6).alias("cosine")).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k))
+        settled = cut(settled_rows(near, asked, k, bits, radius))
+        settled = maybe_broadcast(settled, settled.count())
+        found = found.unionByName(near.join(settled, "vec_id", "left_semi").select("vec_id", "neighbour", "cosine"))
+        open_ids = open_ids.join(settled, "vec_id", "left_anti")
+    open_ids = cut(open_ids)
+    if left := open_ids.count():
+        path = fresh_path(spark, "queries")
+        index.join(maybe_broadcast(open_ids, left), "vec_id", "left_semi").mapInArrow(_blocks(QUERY_ROWS), "ids binary, floats binary").write.parquet(path)
+        exact = index.mapInArrow(_compare(path, k), "vec_id long, neighbour long, cosine double")
+        found = found.unionByName(exact.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k).select("vec_id", "neighbour", "cosine"))
+    # the k nearest rows are among the members of the k nearest vectors and the query's own copies
+    found = found.select(F.col("vec_id").alias("rep"), F.col("neighbour").alias("other"), "cosine")
+    own = asking.select("rep").distinct().select("rep", F.col("rep").alias("other"), F.lit(1.0).alias("cosine"))
+    rows_of = found.unionByName(own).join(members.withColumnRenamed("rep", "other"), "other").select("rep", F.col("member").alias("neighbour"), "cosine")
+    final = asking.join(rows_of, "rep").where("vec_id != neighbour").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return final.select("vec_id", "neighbour", "cosine", "rank")
 
 
 def op4_neighbours(spark, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), queries=F.col("vec_id") % 100 == 0)
 
 
 def sql(k: int = 10) -> str:
-    """Brute force. It gives the same rows where no row is settled by its code alone, as on tables without near copies."""
+    """Brute force for the stated queries. It gives the same rows where no query is settled by its code alone, as on tables without near copies."""
     return f"""with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings where vec_id is not null),
-p as (select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.vec_id != b.vec_id)
+p as (select a.vec_id, b.vec_id as neighbour, round(list_cosine_similarity(a.e, b.e), 6) as cosine from v a join v b on a.vec_id != b.vec_id where a.vec_id % 100 = 0)
 select vec_id, neighbour, cosine, (row_number() over (partition by vec_id order by cosine desc, neighbour))::integer as rank from p qualify rank <= {k}"""
