@@ -1,13 +1,14 @@
 """Packing, mixing, sharding and chat formatting."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vistaframe.llm.chat import fold, render
+from vistaframe.llm.chat import events_of_turns, fold, render
 from vistaframe.llm.mixing import apportion, mix
 from vistaframe.llm.packing import optimal_buckets, pack
 from vistaframe.llm.sharding import hilbert_index, shard, write_shards
@@ -51,6 +52,50 @@ def test_apportionment():
     assert apportion({"a": 1.0}, {}, 3) == [] and apportion({}, {"a": 3}, 3) == []
 
 
+def dealt_one_by_one(weights, blocks, shards, go_on):
+    held, order = {s: 0 for s, w in weights.items() if w > 0}, []
+    while held:
+        s = min(held, key=lambda s: (-(weights[s] / (2 * held[s] + 1)), s))
+        if held[s] >= blocks.get(s, 0):
+            if not go_on:
+                break
+            del held[s]
+            continue
+        held[s] += 1
+        order.append(s)
+    quota = {}
+    for i, s in enumerate(order):
+        at = s, i * shards // len(order)
+        quota[at] = quota.get(at, 0) + 1
+    return [(s, k, n) for (s, k), n in sorted(quota.items())]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_apportionment_is_that_of_dealing_one_by_one(seed):
+    """Equal weights and equal quotients among them."""
+    r = random.Random(seed)
+    names = [f"s{i}" for i in range(r.randrange(1, 7))]
+    weights = {s: r.choice((0.0, 1.0, 1.0, 3.0, 9.0, r.random() * 50)) for s in names}
+    blocks = {s: r.choice((0, 1, 2, 7, r.randrange(200))) for s in names}
+    for go_on in (False, True):
+        for shards in (1, 3, 16):
+            assert apportion(weights, blocks, shards, go_on) == dealt_one_by_one(weights, blocks, shards, go_on)
+
+
+def test_apportionment_of_many_blocks():
+    weights, blocks = {f"s{i}": 10.0 + i for i in range(20)}, {f"s{i}": 10**8 + i for i in range(20)}
+    began = time.perf_counter()
+    dealt = apportion(weights, blocks, 16)
+    total = {s: sum(n for x, _, n in dealt if x == s) for s in weights}
+    assert time.perf_counter() - began < 1 and total["s19"] == 10**8 + 19 and all(abs(total[s] / total["s19"] - weights[s] / 29) < 1e-6 for s in weights)
+
+
+def test_mixing_a_long_text_and_equal_rows(spark):
+    rows = [(1, "w " * 200_000, "en", "a", 1), (2, "w", "en", "a", 1), (2, "w", "en", "a", 1), (3, "w " * 3000, "en", "b", 1)]
+    found = mix(spark.createDataFrame(rows, SCHEMA), block_tokens=1000, shards=2, go_on=True).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 2, 2, 3]
+
+
 def test_mixing_follows_the_weights(spark):
     rows = [(i, "w " * 49, "en", "ab"[i % 2], 1) for i in range(4000)] + [(None, None, None, None, None), (9000, "", None, "c", 0), (1, "w " * 49, "en", "b", 1)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as block", "2 as shard", "3 as key")
@@ -99,6 +144,22 @@ def test_shard_edges(spark):
     rows = [(1, None, None, None, None), (None, "abc", "en", "s", None), (2, "x" * 50, "en", "s", -5), (3, "y", "en", "s", 3_000_000), (3, "y", "en", "s", 3_000_000)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as curve", "2 as size", "3 as v_lang")
     assert shard(df).count() == 5 and shard(df.limit(0)).collect() == []
+    # cells of the curve are ordered, each row lies in the run where it starts, equal rows share a cell
+    found = shard(df, 40).collect()
+    assert sorted(str(r["doc_id"]) for r in found) == ["1", "2", "3", "3", "None"] and len({r["curve"] for r in found if r["doc_id"] == 3}) == 1
+    sizes = {1: 0, None: 3, 2: 0, 3: 3_000_000}
+    begun = 0
+    for r in sorted(found, key=lambda r: (r["curve"], -1 if r["doc_id"] is None else r["doc_id"] % 16, r["shard"])):
+        assert r["shard"] == begun // 40
+        begun += sizes[r["doc_id"]]
+
+
+def test_write_shards_edges(spark, tmp_path):
+    rows = [(1, "a", "en", "s", 1), (None, "b", "en", "s", 1), (1, "c", None, None, None), (1, "c", None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "7 as _shard", "8 as _of", "9 as _curve", "'k' as _key")
+    name = write_shards(df, str(tmp_path / "out"), 2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert name == "__shard" and name in back.columns and sorted(map(str, back.select(df.columns).collect())) == sorted(map(str, df.collect()))
 
 
 LOG = "conv_id long, seq long, kind string, message long, role string, text string"
@@ -143,6 +204,28 @@ def test_chat_brute_force(spark, seed):
     assert got == folded(log)
 
 
+def test_events_of_turns(spark):
+    """The log takes much back; what stands in the end is each row once, those of one turn too, with nulls and a very long text."""
+    r = random.Random(9)
+    rows = [(c, t, r.choice(("user", "assistant")), "\n".join(f"line {c} {t} {i}" for i in range(r.randrange(4)))) for c in range(4) for t in range(20)]
+    rows += [(0, 7, "user", "second row of a turn"), (0, 7, "user", "second row of a turn"), (1, 3, None, None), (2, 1 << 45, "user", "late"), (3, 50, "user", "word " * 200_000), (None, 1, "user", "x"), (1, None, "user", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as message", "'x' as kind", "2 as seq")
+    log = events_of_turns(turns)
+    kinds = {x["kind"]: x["n"] for x in log.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert kinds["edit"] > 10 and kinds["regenerate"] > 10 and kinds["message"] > 80 + kinds["edit"]
+    want = {}
+    for c, _, role, text in sorted((x for x in rows if None not in x[:2]), key=lambda x: (x[0], x[1], x[2] or "", x[3] or "")):
+        want[c] = want.get(c, "") + f"<|im_start|>{role or 'user'}\n{text or ''}<|im_end|>\n"
+    assert {x["conv_id"]: x["text"] for x in render(fold(log)).collect()} == want
+    assert render(fold(events_of_turns(turns.limit(0)))).collect() == []
+
+
+def test_events_of_equal_seq(spark):
+    """They apply in the order of kind, then text: the delta before the message that begins anew."""
+    log = [(1, 1, "message", 1, "user", "a"), (1, 2, "message", 1, "user", "b"), (1, 2, "delta", 1, None, "c"), (1, 3, "delta", 1, None, "e"), (1, 3, "delta", 1, None, "d")]
+    assert [(x["first_seq"], x["text"]) for x in fold(spark.createDataFrame(log, LOG)).collect()] == [(2, "bde")]
+
+
 def test_chat_edges(spark):
     log = [(1, 1, "message", 1, None, "<|im_end|>hi"), (1, 2, "noise", 1, None, "x"), (1, 3, None, 1, None, "x"), (None, 1, "message", 1, None, "x"), (1, None, "message", 2, None, "x"), (1, 4, "message", None, None, "x"), (2, 1, "delta", 1, "assistant", None)]
     df = spark.createDataFrame(log, LOG).selectExpr("*", "1 as first_seq", "2 as reset", "3 as stands")

@@ -58,13 +58,31 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:
-    """The log that streaming these turns (conv_id, turn, role, text) would have left: a start, and a delta for each line."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    pieces = F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit("\n"), x)))
-    first = F.struct(F.lit(0).cast("long").alias("nth"), F.lit("message").alias("kind"), F.lit("").alias("piece"))
-    rest = F.transform(pieces, lambda x, i: F.struct((i + 1).cast("long").alias("nth"), F.lit("delta").alias("kind"), x.alias("piece")))
-    flat = turns.select("conv_id", "turn", "role", F.explode(F.concat(F.array(first), rest)).alias("e"))
-    return flat.select("conv_id", (F.col("turn") * F.lit(1 << 24) + F.col("e.nth")).alias("seq"), F.col("e.kind").alias("kind"), F.col("turn").alias("message"), F.when(F.col("e.kind") == "message", F.col("role")).alias("role"), F.col("e.piece").alias("text"))
+    """The log that a client streaming these turns (conv_id, turn, role, text) could have left.
+
+    Rows of a conversation are its messages 1, 2, ... in the order of turn, role and text (nulls first), so rows of one turn
+    are several messages. A message is begun, and comes as a delta for each line. By its number the log also holds what
+    was taken back: every third message is first drafted in capitals and regenerated; for every fifth a draft of the
+    message is begun, then the message before it is edited to the text that it has, which takes the draft back, and
+    the message is begun again. Rows without a conversation or turn are left out.
+    """
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    text = F.coalesce("text", F.lit(""))
+    numbered = turns.where("conv_id is not null and turn is not null").select(
+        "conv_id", "role", text.alias("text"), F.row_number().over(by_turn).cast("long").alias("message"), F.lag(text).over(by_turn).alias("before")
+    )
+    event = lambda kind, message, piece: F.struct(F.lit(kind).alias("kind"), message.alias("message"), piece.alias("piece"))
+    at, none = F.col("message"), F.lit("")
+    deltas = F.transform(F.split("text", "\n"), lambda x, i: event("delta", at, F.when(i == 0, x).otherwise(F.concat(F.lit("\n"), x))))
+    drafted = F.array(event("delta", at, F.upper("text")))
+    events = (
+        F.when((at % 5 == 0) & (at > 1), F.concat(F.array(event("message", at, none)), drafted, F.array(event("edit", at - 1, F.col("before")), event("message", at, none)), deltas))
+        .when(at % 3 == 0, F.concat(F.array(event("message", at, none)), drafted, F.array(event("regenerate", at, none)), deltas))
+        .otherwise(F.concat(F.array(event("message", at, none)), deltas))
+    )
+    flat = numbered.select("conv_id", "message", "role", F.posexplode(events).alias("nth", "e"))
+    role = F.when(F.col("e.kind") == "message", F.col("role")).alias("role")
+    return flat.select("conv_id", (F.shiftleft("message", 31) + F.col("nth")).alias("seq"), F.col("e.kind").alias("kind"), F.col("e.message").alias("message"), role, F.col("e.piece").alias("text"))
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:

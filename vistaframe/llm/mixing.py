@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,47 @@ from pyspark.sql import functions as F
 from vistaframe.llm.packing import tokens
 from vistaframe.llm.shared import cut, hex_range, maybe_broadcast, running_start
 
+CHUNK = 1 << 16
+
+
+def _seats(weight: float, quotient: float, more: bool) -> int:
+    """How many k have weight / (2k + 1) above the quotient, or with ``more`` at least it."""
+    held = lambda k: weight / (2 * k + 1) > quotient or more and weight / (2 * k + 1) == quotient
+    n = max(0, int((weight / quotient - 1) / 2))  # as good as exact; rounding is put right below
+    while n and not held(n - 1):
+        n -= 1
+    while held(n):
+        n += 1
+    return n
+
+
+class _Dealing:
+    """How many blocks each source has among the first ones that Sainte-Laguë deals, without dealing them one by one."""
+
+    def __init__(self, weights: dict[str, float], most: dict[str, int | None]) -> None:
+        self.weights = {s: float(w) for s, w in sorted(weights.items()) if w > 0}
+        self.most = most
+
+    def until(self, quotient: float, more: bool) -> dict[str, int]:
+        found = {s: _seats(w, quotient, more) for s, w in self.weights.items()}
+        return {s: n if self.most.get(s) is None else min(n, self.most[s]) for s, n in found.items()}
+
+    def first(self, n: int) -> dict[str, int]:
+        """The first n blocks; equal quotients go by name. The least quotient among them is found by bisection of all doubles."""
+        as_float = lambda x: struct.unpack("<d", struct.pack("<q", x))[0]
+        bits = lambda x: struct.unpack("<q", struct.pack("<d", x))[0]
+        # among n blocks no source has more than n
+        low, high = bits(min(self.weights.values()) / (2 * n + 3)), bits(max(self.weights.values())) + 1
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if sum(self.until(as_float(mid), True).values()) >= n else (low, mid)
+        out, every = self.until(as_float(low), False), self.until(as_float(low), True)
+        left = n - sum(out.values())
+        for s in self.weights:
+            add = min(left, every[s] - out[s])
+            out[s], left = out[s] + add, left - add
+        return out
+
 
 def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int, go_on: bool = False) -> list[tuple[str, int, int]]:
     """(source, shard, quota): blocks dealt one by one to the source with the highest quotient.
@@ -17,25 +58,37 @@ def apportion(weights: dict[str, float], blocks: dict[str, int], shards: int, go
     A source with k blocks so far has the quotient weight / (2k + 1); ties go to the first name. Dealing ends
     when the next block falls to a source that has none left, so no source is used twice and the weights hold; with
     ``go_on`` that source drops out and the others are dealt on, until all blocks of sources with a weight are used.
-    The sequence is cut into ``shards`` runs of equal length to within one block.
+    The sequence is cut into ``shards`` runs of equal length to within one block. Quotas come from the quotients at the
+    ends of the runs, found by bisection, so that time doesn't grow with the number of blocks but for its logarithm.
     """
-    heap = [(-w, s, 0) for s, w in weights.items() if w > 0]
-    heapq.heapify(heap)
-    dealt = []
-    while heap:
-        _, s, k = heap[0]
-        if k >= blocks.get(s, 0):
-            if not go_on:
-                break
-            heapq.heappop(heap)
-            continue
-        heapq.heapreplace(heap, (-weights[s] / (2 * k + 3), s, k + 1))
-        dealt.append(s)
-    quota: dict[tuple[str, int], int] = {}
-    for i, s in enumerate(dealt):
-        at = (s, i * shards // len(dealt))
-        quota[at] = quota.get(at, 0) + 1
-    return [(s, shard, n) for (s, shard), n in sorted(quota.items())]
+    weights = {s: w for s, w in weights.items() if w > 0}
+    if not weights:
+        return []
+    if go_on:
+        dealing, total = _Dealing(weights, {s: blocks.get(s, 0) for s in weights}), sum(blocks.get(s, 0) for s in weights)
+    else:
+        dealing = _Dealing(weights, {})
+        # the first turn of a source without blocks left
+        end, source = min((-(w / (2 * blocks.get(s, 0) + 1)), s) for s, w in weights.items())
+        before, upto = dealing.until(-end, False), dealing.until(-end, True)
+        total = sum(min(upto[s], blocks.get(s, 0)) if s < source else before[s] for s in weights)
+    out, last = [], dict.fromkeys(weights, 0)
+    for shard in range(shards):
+        now = dealing.first(-(-(shard + 1) * total // shards)) if total else last
+        out += [(s, shard, now[s] - last[s]) for s in weights if now[s] > last[s]]
+        last = now
+    return sorted(out)
+
+
+def _listed(spark, blocks: dict[str, int]) -> DataFrame:
+    """(source, block) of all blocks, unfolded in chunks so that no row holds those of a large source."""
+    chunks = F.ceil(F.col("whole") / CHUNK).cast("long")
+    whole = spark.createDataFrame(list(blocks.items()), "source string, whole long").where("whole > 0")
+    begun = whole.select("source", "whole", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)).alias("chunk"))
+    parts = max(1, min(10_000, sum(blocks.values()) // (16 * CHUNK)))
+    begun = begun.repartition(parts, "source", "chunk") if parts > 1 else begun
+    first = F.col("chunk") * CHUNK
+    return begun.select("source", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("whole")) - 1)).alias("block"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens: int = 4096, shards: int = 16, seed: int = 17, go_on: bool = False) -> DataFrame:
@@ -51,7 +104,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
     that runs out first bounds what is used of all. With ``go_on`` it doesn't: dealing continues among the others, a
     source's last, partial block counts as a block, and every document of a source with a weight gets a shard; the
     weights hold until the first source runs out, and among those left from then on. Texts of any length
-    count whole. An empty table gives none; other columns are not read. Driver memory holds a few numbers for each source.
+    count whole. An empty table gives none; other columns are not read. The driver holds a few numbers for each source
+    and shard, however many blocks there are.
     """
     spark = docs.sparkSession
     empty = "doc_id long, source string, block long, shard int"
@@ -69,10 +123,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_tokens:
     for s, shard, n in quotas:
         edges.append((s, shard, used.get(s, 0), used.get(s, 0) + n))
         used[s] = used.get(s, 0) + n
-    whole = spark.createDataFrame([(s, n) for s, n in blocks.items()], "source string, whole long")
-    listed = whole.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("block"))
     name = F.md5(F.concat(F.lit(f"{seed}:"), "source", F.lit(":"), F.col("block").cast("string")))
-    listed = listed.withColumn("key", name).withColumn("slice", hex_range("key")).withColumn("one", F.lit(1).cast("long"))
+    listed = _listed(spark, blocks).withColumn("key", name).withColumn("slice", hex_range("key")).withColumn("one", F.lit(1).cast("long"))
     ranked = running_start(listed, ["source"], "slice", ["key"], "one", "nth")
     runs = spark.createDataFrame(edges, "source string, shard int, low long, high long")
     r, e = ranked.alias("r"), maybe_broadcast(runs, len(edges)).alias("e")

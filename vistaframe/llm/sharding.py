@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vistaframe.llm.shared import cut, running_start
+from vistaframe.llm.shared import cut, free_name, keyed, running_start
 
 BITS, SLICES = 5, 16
 
@@ -65,9 +65,10 @@ def shard(docs: DataFrame, target_chars: int = 1_000_000) -> DataFrame:
     by its number of binary digits, to 32 steps each. Rows in the order (curve, doc_id mod 16, doc_id, length),
     null doc_ids first, are cut every ``target_chars`` characters; a row belongs to the run where it starts.
     Null languages and sources count as the empty string; equal rows stay side by side; a long text stays whole;
-    an empty table gives none; other columns are not read.
+    an empty table gives none; other columns are not read, and texts only if some n_chars is null.
     """
-    length = F.greatest(F.coalesce(F.col("n_chars"), F.length("text"), F.lit(0)).cast("long"), F.lit(0).cast("long"))
+    of_text = [F.length("text")] if docs.where("n_chars is null").select(F.lit(1)).take(1) else []
+    length = F.greatest(F.coalesce(F.col("n_chars"), *of_text, F.lit(0)).cast("long"), F.lit(0).cast("long"))
     meta = cut(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("v_lang"), F.coalesce("source", F.lit("")).alias("v_source"), length.alias("size")))
     named = meta.select(F.col("v_lang").alias("lang"), F.col("v_source").alias("source"))
     both = meta.join(_code(named, "lang"), "v_lang").join(_code(named, "source"), "v_source")
@@ -81,14 +82,19 @@ def shard(docs: DataFrame, target_chars: int = 1_000_000) -> DataFrame:
     return inside.join(F.broadcast(start), "curve").select("doc_id", "curve", F.floor((F.col("base") + F.col("begin")) / target_chars).cast("long").alias("shard"))
 
 
-def write_shards(docs: DataFrame, path: str, target_chars: int = 1_000_000) -> None:
+def write_shards(docs: DataFrame, path: str, target_chars: int = 1_000_000) -> str:
     """Writes documents in curve order, one file for each shard, so that min/max statistics prune on every dimension.
 
-    Rows are matched by doc_id; with repeated ids each row goes to the first shard of its id.
+    Every row is placed by itself, also those with a null or repeated doc_id. Returns the name of the folder column:
+    ``_shard``, with more underscores in front if docs has such a column.
     """
-    where = shard(docs, target_chars).groupBy(F.col("doc_id").alias("_id")).agg(F.min("shard").alias("_shard"), F.min("curve").alias("_curve"))
-    placed = docs.join(where, docs["doc_id"].eqNullSafe(where["_id"])).drop("_id")
-    placed.repartition("_shard").sortWithinPartitions("_shard", "_curve", "doc_id").drop("_curve").write.partitionBy("_shard").parquet(path)
+    base, key = keyed(docs)
+    number, of = free_name(base, "_shard"), free_name(base, "_of")
+    curve = free_name(base, "_curve")
+    where = shard(base.select(F.col(key).alias("doc_id"), "lang", "source", "text", "n_chars"), target_chars).select(F.col("doc_id").alias(of), F.col("shard").alias(number), F.col("curve").alias(curve))
+    placed = base.join(where, F.col(key) == F.col(of)).drop(key, of)
+    placed.repartition(number).sortWithinPartitions(number, curve, "doc_id").drop(curve).write.partitionBy(number).parquet(path)
+    return number
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
