@@ -9,6 +9,7 @@ from vistaframe.engine import Cache, Engine
 from vistaframe.errors import EngineError, QueryParsingError, RegistryError
 from vistaframe.ir import Filter, Query
 from vistaframe.plans.planner import view_name
+from vistaframe.storage import write_by_time
 
 SCHEMA = {
     "typeName": "t", "dimension": [{"name": "id", "datatype": "Number"}, {"name": "at", "datatype": "Time"}, {"name": "user.city", "datatype": "String", "isOptional": True}, {"name": "tags", "datatype": "Bag", "innerType": "String", "isOptional": True}],
@@ -144,6 +145,59 @@ def test_cache(engine):
     assert c.run(q) == [{"n": 5}]
 
 
+def test_udf_by_name_and_json_paths(engine, spark):
+    """Functions registered with Spark, and any expression, in the definition of a derived column."""
+    spark.udf.register("shout", lambda t: t.upper() if t else None, "string")
+    q = {"dataset": "d", "append": [{"field": "text", "definition": "shout(text)", "type": "String", "as": "loud"}, {"field": "id", "definition": "cast(get_json_object(to_json(struct(id, v)), '$.id') as long)", "type": "Number", "as": "again"}], "filter": [{"field": "loud", "relation": "=", "values": ["ZIKA VIRUS"]}], "select": {"order": ["id"], "limit": 2, "offset": 0, "field": ["id", "again", "loud"]}}
+    assert [tuple(r) for r in engine.query(q).collect()] == [(0, 0, "ZIKA VIRUS"), (3, 3, "ZIKA VIRUS")]
+
+
+def test_several_unnests(engine):
+    got = engine.query({"dataset": "d", "filter": [{"field": "id", "relation": "=", "values": [1]}], "unnest": [{"tags": "a"}, {"tags": "b"}]})
+    assert sorted(map(tuple, got.collect())) == [("x", "x"), ("x", "z"), ("z", "x"), ("z", "z")]
+
+
+def test_sliced_rows_keep_order_limit_offset_and_projection(engine):
+    q = {"dataset": "d", "filter": [{"field": "at", "relation": "isNotNull", "values": []}], "select": {"order": ["-v", "id"], "limit": 5, "offset": 3, "field": ["id", "v"]}}
+    sizes, kept = [], engine._kept
+    engine._kept = lambda state: sizes.append(state.count()) or kept(state)
+    parts = list(engine.progressive(q | {"option": {"sliceMillis": 1}}, least_hours=72))
+    assert len(parts) > 3 and max(sizes) <= 8
+    assert parts[-1]["value"] == engine.run(q) and len(engine.run(q)) == 5
+
+
+def test_states_of_values(engine):
+    """Several valued aggregates at once, of a text's words too, in slices and at once; null groups and values."""
+    q = {"dataset": "d", "filter": [{"field": "at", "relation": "isNotNull", "values": []}], "group": {"by": [{"field": "user.city", "as": "city"}], "aggregate": [{"field": "text", "apply": {"name": "topK", "args": {"k": 2}}, "as": "words"}, {"field": "v", "apply": {"name": "topK", "args": {"k": 3}}, "as": "top"}, {"field": "v", "apply": {"name": "distinctCount"}, "as": "d"}, COUNT, {"field": "v", "apply": {"name": "sum"}, "as": "s"}, {"field": "v", "apply": {"name": "max"}, "as": "m"}]}}
+    data = [r for r in rows() if r[1] is not None]
+    want = {}
+    for city in {r[2] for r in data}:
+        mine = [r for r in data if r[2] == city]
+        words, values = {}, {}
+        for r in mine:
+            for w in r[4].lower().split():
+                words[w] = words.get(w, 0) + 1
+            if r[5] is not None:
+                values[r[5]] = values.get(r[5], 0) + 1
+        top = lambda c, k: sorted(c, key=lambda x: (-c[x], x))[:k]
+        want[city and city[0]] = (top(words, 2), top(values, 3), len(values), len(mine), sum(k * n for k, n in values.items()), max(values))
+    assert {r["city"]: tuple(r)[1:] for r in engine.query(q).collect()} == want
+    last = list(engine.progressive(q | {"option": {"sliceMillis": 1}}, least_hours=100))[-1]["value"]
+    assert {r.get("city"): (r["words"], r["top"], r["d"], r["n"], r["s"], r["m"]) for r in last} == want
+
+
+def test_tables_in_order_of_time(engine, spark, tmp_path):
+    """A slice of time opens the folders of its days alone, rows without a time are kept, the folder column doesn't show."""
+    path = str(tmp_path / "by_time")
+    write_by_time(table(spark), path, F.col("at"))
+    engine.register({"dataset": "t", "schema": SCHEMA}, path)
+    assert engine.query({"dataset": "t"}).columns == ["id", "at", "user", "tags", "text", "v"] and engine.query({"dataset": "t"}).count() == 60
+    q = {"dataset": "t", "filter": [{"field": "at", "relation": "inRange", "values": ["2024-01-03", "2024-01-04T12:00:00"]}], "select": {"order": ["id"], "limit": 0, "offset": 0, "field": ["id"]}}
+    assert [r["id"] for r in engine.query(q).collect()] == [i for i in range(60) if i != 7 and timedelta(days=2) <= timedelta(hours=7 * i) < timedelta(days=3, hours=12)]
+    plan = engine.query(q)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(__day" in plan and "2024-01-03" in plan
+
+
 def test_pushdown(engine):
     plan = engine.query({"dataset": "d", "filter": [{"field": "at", "relation": "<", "values": ["2024-01-05"]}, {"field": "v", "relation": ">", "values": [1]}], "group": {"by": [{"field": "v"}], "aggregate": [COUNT]}})._jdf.queryExecution().toString()
     assert "LessThan(at" in plan and "GreaterThan(v" in plan and "ReadSchema: struct<at:timestamp_ntz,v:double>" in plan

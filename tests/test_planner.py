@@ -33,6 +33,18 @@ def test_suggest():
     assert planner.view_name(VIEW).startswith("d_") and len(planner.view_name(VIEW)) == 34
 
 
+def test_names_of_views_tell_fields_and_relations_apart():
+    names = {planner.view_name(Query("d", filter=(Filter(f, r, v),))) for f in ("text", "title") for r in ("contains", "matches") for v in (("zika",), ("zika", "virus"))}
+    assert len(names) == 8
+
+
+def test_time_range():
+    t, us = datetime(2016, 1, 1), timedelta(microseconds=1)
+    bounds = lambda *f: planner.time_range(Query("d", filter=tuple(Filter("t", r, v) for r, v in f)), "t")
+    assert bounds(("=", ("2016-01-01",))) == (t, t + us) and bounds(("<=", ("2016-01-01",))) == (None, t + us) and bounds((">", ("2016-01-01",))) == (t + us, None)
+    assert bounds(("<", ("2016-01-01",))) == (None, t) and bounds((">=", ("2015-01-01",)), ("inRange", ("2014-01-01", "2016-01-01"))) == (datetime(2015, 1, 1), t) and bounds(("isNotNull", ())) == (None, None)
+
+
 def test_split():
     until = datetime(2016, 6, 1)
     between = lambda a, b: Filter("t", "inRange", (a, b))
