@@ -2,6 +2,7 @@
 
 import math
 import random
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -75,8 +76,38 @@ def test_decimate_whatever_the_columns(spark):
     assert sampling.decimate(rows, ["k"], 5000).count() == 5000
 
 
-def test_sample_ratio():
-    wave = [math.sin(i / 50) for i in range(1000)]
-    noise = [random.Random(i).uniform(-1, 1) for i in range(1000)]
-    assert sampling.sax_distance(wave, wave) == 0 and sampling.sax_distance(wave, [-x for x in wave]) > 1
-    assert sampling.sample_ratio(wave) == 0.025 and sampling.sample_ratio(noise, most=0.0) >= 0.025
+def symbol_distance(series, other, segments=16, letters=8):
+    breaks = [NormalDist().inv_cdf(i / letters) for i in range(1, letters)]
+
+    def symbols(x):
+        mean = sum(x) / len(x)
+        spread = math.sqrt(sum((v - mean) ** 2 for v in x) / len(x)) or 1.0
+        cuts = [i * len(x) // segments for i in range(segments + 1)]
+        return [sum((sum(x[a:b]) / (b - a) - mean) / spread > k for k in breaks) for a, b in zip(cuts, cuts[1:])]
+
+    gaps = [0.0 if abs(i - j) <= 1 else breaks[max(i, j) - 1] - breaks[min(i, j)] for i, j in zip(symbols(series), symbols(other))]
+    return math.sqrt(len(series) / segments * sum(g * g for g in gaps))
+
+
+def plain_ratio(v, ratios=sampling.RATIOS, most=1.0):
+    n = len(v)
+    if n >= 16:
+        for r in ratios:
+            m = max(2, math.floor(n * r + 0.5))
+            kept = sorted({j * (n - 1) // (m - 1) for j in range(m)})
+            drawn = [v[0]]
+            for a, b in zip(kept, kept[1:]):
+                drawn += [v[a] + (p - a) * (v[b] - v[a]) / (b - a) for p in range(a + 1, b + 1)]
+            if symbol_distance(v, drawn) <= most:
+                return r
+    return ratios[-1]
+
+
+def test_sample_ratios(spark):
+    series = {k: [math.sin(i / 3**k) + random.Random(k * 1000 + i).uniform(-1, 1) * (k % 3) for i in range(300 + 7 * k)] for k in range(7)}
+    series |= {20: [1.0] * 50, 21: [float(i) for i in range(40)], 22: [3.0, 1.0], 23: [random.Random(i).uniform(-1, 1) for i in range(400)]}
+    rows = [(k, i, v) for k, x in series.items() for i, v in enumerate(x)] + [(0, None, 5.0), (0, 3, None)]
+    df = spark.createDataFrame(rows, "k long, at long, x double").repartition(5)
+    got = {r["k"]: r["ratio"] for r in sampling.sample_ratios(df, "k", "at", "x").collect()}
+    assert got == {k: plain_ratio(v) for k, v in series.items()} and len(set(got.values())) > 2
+    assert sampling.sample_ratios(df.limit(0), "k", "at", "x").collect() == []
