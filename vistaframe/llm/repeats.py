@@ -24,7 +24,7 @@ from vistaframe.llm.shared import bucket_bits, cut, free_name, fresh_path, keyed
 from vistaframe.llm.text import Words, chunks, mix, ngram_hash, pack, release, unpack
 
 WIDTH = 48
-PIECE_BYTES = 10 << 20
+PIECE_BYTES = 6 << 20
 SYMBOL = np.uint64((1 << 32) - 1)
 
 
