@@ -301,9 +301,9 @@ def _median(found: list[tuple[int, int]]) -> float:
 
 
 def bands(scores: DataFrame, below: float, above: float, step: float = 0.002, least: float = 0.05) -> DataFrame:
-    """(lang, middle, high, middle_adapted, low): the median of log perplexity plus ``above`` median deviations, and the median of the adapted one less ``below`` median deviations of its lower half.
+    """(lang, middle, high, middle_adapted, low): the median of log perplexity plus ``above`` median deviations (``least`` at least), and the median of the adapted one times ``below``.
 
-    Deviations are ``least`` at least. Scores are taken in steps of 0.002, so that counts of steps are all that reaches the driver.
+    A share of the median holds where a large group of copies would move deviations. Scores are taken in steps of 0.002, so that counts of steps are all that reaches the driver.
     """
     kinds = F.explode(F.array(*(F.struct(F.lit(c).alias("kind"), F.round(F.col(c) / step).cast("long").alias("at")) for c in ("log_perplexity", "log_adapted"))))
     found: dict[str, dict[str, list[tuple[int, int]]]] = {}
@@ -313,19 +313,18 @@ def bands(scores: DataFrame, below: float, above: float, step: float = 0.002, le
     for lang, of in found.items():
         middle, own = _median(of["log_perplexity"]), _median(of["log_adapted"])
         off = max(least / step, _median([(abs(x - middle), c) for x, c in of["log_perplexity"]]))
-        lower = max(least / step, _median([(own - x, c) for x, c in of["log_adapted"] if x <= own]))
-        rows.append((lang, middle * step, (middle + above * off) * step, own * step, (own - below * lower) * step))
+        rows.append((lang, middle * step, (middle + above * off) * step, own * step, own * below * step))
     return scores.sparkSession.createDataFrame(rows, "lang string, middle double, high double, middle_adapted double, low double")
 
 
-def perplexity_rules(docs: DataFrame, below: float = 12.0, above: float = 6.0, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def perplexity_rules(docs: DataFrame, below: float = 0.5, above: float = 6.0, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """(doc_id, lang, n_words, log_perplexity, log_adapted, low, high, keep) for every row.
 
     keep says whether the log perplexity is at most ``high`` and the adapted one at least ``low``, the bounds of its
     language (see ``bands``); a document without words is not kept. A short document strays more than a long one, so
     its band is wider by the square root of 1 + 50 / words. The lower bound looks at the adapted score, as text that
     others copy is foreseeable without being bad, and is the duplicate stages' business; text that repeats itself is
-    foreseeable from itself. See ``log_perplexities`` for nulls, repeats and empty tables.
+    foreseeable from itself. Short documents have room for a first line that comes again as the last. See ``log_perplexities`` for nulls, repeats and empty tables.
     """
     scores = log_perplexities(docs, piece_bytes)
     limits = bands(scores, below, above)
