@@ -24,7 +24,7 @@ def rows(n=60):
     out = []
     for i in range(n):
         at = None if i == 7 else T0 + timedelta(hours=7 * i)
-        out.append((i, at, ("ab"[i % 2],) if i % 5 else None, None if i % 4 == 0 else ["x", "yz"[i % 2]], "Zika virus" if i % 3 == 0 else "zika", float(i % 6) if i % 10 else None))
+        out.append((i, at, ("ab"[i % 2],) if i % 5 else None, None if i % 4 == 0 else ["x", "yz"[i % 2]], "River amber" if i % 3 == 0 else "river", float(i % 6) if i % 10 else None))
     return out
 
 
@@ -98,11 +98,11 @@ def test_sliced_limit_stops_early(engine):
 
 
 def test_views(engine, spark):
-    q = {"dataset": "d", "filter": [{"field": "text", "relation": "contains", "values": ["zika", "virus"]}], "group": BY_CITY}
+    q = {"dataset": "d", "filter": [{"field": "text", "relation": "contains", "values": ["river", "amber"]}], "group": BY_CITY}
     before = plain(engine.query(q))
     assert engine.is_solvable_by_view(q) == [False]
     wanted = engine.suggest_views(q)
-    assert [v.filter[0].values for v in wanted] == [("virus",), ("zika",)]
+    assert [v.filter[0].values for v in wanted] == [("amber",), ("river",)]
     v = engine.create_view(wanted[0], until=T0 + timedelta(days=6))
     assert v.stats.cardinality < 20 and engine.is_solvable_by_view(q) == [True] and engine.suggest_views(q) == []
     assert plain(engine.query(q)) == before
@@ -115,7 +115,7 @@ def test_views(engine, spark):
     assert engine.is_solvable_by_view(q) == [False]
     with pytest.raises(EngineError):
         Engine(spark).create_view(wanted[0])
-    assert v.name == view_name(Query("d", filter=(Filter("text", "contains", ("virus",)),)))
+    assert v.name == view_name(Query("d", filter=(Filter("text", "contains", ("amber",)),)))
 
 
 def test_changes(engine, spark):
@@ -148,8 +148,8 @@ def test_cache(engine):
 def test_udf_by_name_and_json_paths(engine, spark):
     """Functions registered with Spark, and any expression, in the definition of a derived column."""
     spark.udf.register("shout", lambda t: t.upper() if t else None, "string")
-    q = {"dataset": "d", "append": [{"field": "text", "definition": "shout(text)", "type": "String", "as": "loud"}, {"field": "id", "definition": "cast(get_json_object(to_json(struct(id, v)), '$.id') as long)", "type": "Number", "as": "again"}], "filter": [{"field": "loud", "relation": "=", "values": ["ZIKA VIRUS"]}], "select": {"order": ["id"], "limit": 2, "offset": 0, "field": ["id", "again", "loud"]}}
-    assert [tuple(r) for r in engine.query(q).collect()] == [(0, 0, "ZIKA VIRUS"), (3, 3, "ZIKA VIRUS")]
+    q = {"dataset": "d", "append": [{"field": "text", "definition": "shout(text)", "type": "String", "as": "loud"}, {"field": "id", "definition": "cast(get_json_object(to_json(struct(id, v)), '$.id') as long)", "type": "Number", "as": "again"}], "filter": [{"field": "loud", "relation": "=", "values": ["RIVER AMBER"]}], "select": {"order": ["id"], "limit": 2, "offset": 0, "field": ["id", "again", "loud"]}}
+    assert [tuple(r) for r in engine.query(q).collect()] == [(0, 0, "RIVER AMBER"), (3, 3, "RIVER AMBER")]
 
 
 def test_several_unnests(engine):

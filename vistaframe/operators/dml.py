@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vistaframe.errors import QueryParsingError
 
 
-def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row for each key, the last in the given order."""
-    first = Window.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return rows.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth")
-
-
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
     """``table`` with ``rows`` in place of its rows of the same keys; of several new rows of a key the largest counts."""
     others = [c for c in table.columns if c not in keys]
