@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 
+from vistaframe.llm import jaccard
 from vistaframe.llm.jaccard import groups, jaccard_join, similar_documents
 
 SCHEMA = "doc_id long, text string, source string"
@@ -85,6 +86,50 @@ def test_classes(spark, seed, hot, threshold):
     assert got == brute_classes(rows, 5, threshold)
 
 
+def near_copies(seed, sizes, shared=0):
+    """Groups of different near copies, of texts that may end in the same passage."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    end, rows = [word() for _ in range(shared)], []
+    for size in sizes:
+        base = [word() for _ in range(80)]
+        for _ in range(size):
+            w = list(base)
+            for i in r.sample(range(80), 3):
+                w[i] = word()
+            rows.append((len(rows), " ".join(w + end), "s"))
+    return rows
+
+
+def test_large_group_is_not_listed_by_pairs(spark, monkeypatch):
+    """400 different near copies: right links, and no intermediate table has a row for each pair."""
+    rows, seen, plain = near_copies(7, (400,)), [], jaccard.cut
+
+    def watched(df):
+        out = plain(df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(spark.createDataFrame(rows, SCHEMA), hot=20).collect()}
+    assert got == brute_classes(rows, 5, 0.5)
+    assert max(seen) <= 10 * len(rows) < sum(n for _, n in got.values()) // 4
+
+
+@pytest.mark.parametrize(("rows_at_once", "grams_at_once"), [(16, 1 << 20), (1000, 150)])
+def test_blocks(spark, rows_at_once, grams_at_once):
+    """Groups cut into many blocks, some of them empty, against brute force, as counts and as pairs."""
+    rows = near_copies(8, (40, 25, 30), shared=20)
+    rows += [(len(rows) + i, rows[i][1], "t") for i in range(3)] + [(3, rows[50][1], "s"), (None, rows[60][1], "s")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    options = {"threshold": 0.55, "hot": 6, "block_rows": rows_at_once, "block_grams": grams_at_once}
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(df, **options).collect()}
+    assert got == brute_classes(rows, 5, 0.55)
+    pairs = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in jaccard_join(df, **options).collect()}
+    want = brute_force(rows, 5, 0.55)
+    assert pairs.keys() == want.keys() and all(abs(pairs[k] - want[k]) < 1e-12 for k in pairs)
+
+
 @pytest.mark.parametrize("text", ["Съешь же ещё этих мягких французских булок", "ΞΕΣΚΕΠΑΖΩ τὴν ψυχοφθόρα βδελυγμία ναί", "Příliš žluťoučký kůň úpěl ďábelské ódy", "Ça où Éléphant naïve cœur Ÿ"])
 def test_letter_case_of_other_scripts(spark, text):
     rows = [(1, text, "s"), (2, text.upper(), "s"), (3, text.lower(), "s"), (4, "something else of five words", "s")]

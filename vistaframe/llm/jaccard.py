@@ -7,8 +7,12 @@ fragment, the overlaps of the pairs that share an n-gram there, and the sum for
 
 N-grams of more than ``hot`` documents don't make pairs by themselves: a document whose hot n-grams are a smaller
 share than ``threshold`` must have a cold one in common with any partner, so for its pairs the hot n-grams are one
-more fragment, counted for those pairs alone. Only pairs of documents that consist of hot n-grams for the most part
-are built from them. That leaves out no pair.
+more fragment, counted for those pairs alone. That leaves out no pair.
+
+Documents that consist of hot n-grams for the most part ("heavy" ones) may form groups of any size, whose pairs grow with its
+square. Those among themselves are therefore never sent as pairs: heavy documents that share an n-gram of their
+prefixes, as every similar pair does, are brought together, large groups in blocks; products of matrices give all the
+overlaps of two blocks, and what leaves a block is a row for each document, with its number of links and its class there.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ WIDTH = 48
 PIECE_BYTES = 12 << 20
 HOT = 64
 PAIRS_AT_ONCE = 1 << 21
+BLOCK_ROWS, BLOCK_GRAMS = 2048, 1 << 20
 
 
 def distinct_grams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +112,7 @@ def _cut_up(bits: int, n: int, limit: int):
 
 
 def _fragment_counts(hot: int):
-    """In a fragment: which n-grams occur in two documents or more, returned to the pieces that hold them, marked if hot."""
+    """In a fragment: which n-grams occur in two documents or more, returned to the pieces that hold them, with a rank that is 0 for cold ones and grows with the number of documents for hot ones."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
@@ -127,19 +132,24 @@ def _fragment_counts(hot: int):
                 d = df[size[i] : size[i + 1]]
                 keep = d > 1
                 if keep.any():
-                    out.append((r["bucket"], r["piece"], "grams", None, pack(unpack(r["a"], 3)[keep], 3), pack(np.diff(hashes[i][keep], prepend=np.uint64(0)), 6), pack((d[keep] > hot).astype(np.uint64), 1)))
+                    out.append((r["bucket"], r["piece"], "grams", None, pack(unpack(r["a"], 3)[keep], 3), pack(np.diff(hashes[i][keep], prepend=np.uint64(0)), 6), pack(np.where(d[keep] > hot, 1 + np.minimum(254, 4 * np.log2(np.maximum(d[keep] / hot, 1))), 0).astype(np.uint64), 1)))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-_LEFT = "bucket int, ids array<long>, uids binary, sigs binary, sizes binary, n_hot binary, docs binary, grams binary, hot binary"
-_LEFT_NAMES = ["bucket", "ids", "uids", "sigs", "sizes", "n_hot", "docs", "grams", "hot"]
+_LEFT = "bucket int, ids array<long>, uids binary, sigs binary, sizes binary, n_hot binary, docs binary, grams binary, ranks binary"
+_LEFT_NAMES = ["bucket", "ids", "uids", "sigs", "sizes", "n_hot", "docs", "grams", "ranks"]
 _LEFT_TYPES = (pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 7)
 
 
+def _heavy(n_hot: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """Which documents consist of hot n-grams for the most part: pairs of two such needn't have a cold one in common."""
+    return n_hot >= threshold * size - 1e-6
+
+
 def _survivors(threshold: float, coarser: int):
-    """In a piece: the documents that may have a partner, with their shared n-grams by fragment; bucket -1 lists them with their hot n-grams."""
+    """In a piece: the documents that may have a partner, with their shared cold n-grams by fragment; bucket -1 lists them with their hot n-grams, bucket -2 the heavy ones with all shared n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
         release()
@@ -149,7 +159,8 @@ def _survivors(threshold: float, coarser: int):
         size = unpack(head["a"], 4).astype(np.int64)
         docs = [unpack(r["a"], 3).astype(np.int64) for r in rows]
         grams = [np.cumsum(unpack(r["b"], 6), dtype=np.uint64) for r in rows]
-        hot = [unpack(r["c"], 1) > 0 for r in rows]
+        ranks = [unpack(r["c"], 1) for r in rows]
+        hot = [x > 0 for x in ranks]
         shared, n_hot = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
         for d, x in zip(docs, hot):
             shared += np.bincount(d, minlength=len(size))
@@ -165,16 +176,21 @@ def _survivors(threshold: float, coarser: int):
             hot_docs, hot_grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for r, d, g, x in zip(rows, docs, grams, hot):
                 ok = live[d]
-                # hot n-grams make pairs only among documents that mostly consist of them
-                mine = ok & (~x | (n_hot[d] >= threshold * size[d] - 1e-6))
+                mine = ok & ~x
                 if mine.any():
-                    parts.setdefault(r["bucket"] >> coarser, []).append((place[d[mine]].astype(np.uint64), g[mine], x[mine].astype(np.uint64)))
+                    parts.setdefault(r["bucket"] >> coarser, []).append((place[d[mine]].astype(np.uint64), g[mine]))
                 hot_docs.append(place[d[ok & x]])
                 hot_grams.append(g[ok & x])
             for b, found in parts.items():
-                d, g, x = (np.concatenate(c) for c in zip(*found))
-                out.append((b, None, *whole, pack(d, 3), pack(np.diff(g, prepend=np.uint64(0)), 6), pack(x, 1)))
+                d, g = (np.concatenate(c) for c in zip(*found))
+                out.append((b, None, *whole, pack(d, 3), pack(np.diff(g, prepend=np.uint64(0)), 6), None))
             out.append((-1, [head["ids"][i] for i in kept], *whole, pack(np.concatenate(hot_docs).astype(np.uint64), 3), pack(np.concatenate(hot_grams), 6), None))
+            heavy = live & _heavy(n_hot, size, threshold)
+            if heavy.any():
+                nth = np.cumsum(heavy) - 1
+                d, g, x = (np.concatenate(c) for c in (docs, grams, ranks))
+                mine = heavy[d]
+                out.append((-2, None, None, pack(unpack(head["b"], 8)[heavy], 8), pack(size[heavy].astype(np.uint64), 4), None, pack(nth[d[mine]].astype(np.uint64), 3), pack(g[mine], 6), pack(x[mine], 1)))
         return pa.Table.from_batches([_rows(out, _LEFT_NAMES, _LEFT_TYPES)])
 
     return run
@@ -247,7 +263,7 @@ _PLANES = ((8, "a"), (8, "b"), (4, "n"), (4, "size_a"), (4, "size_b"), (4, "hot_
 
 
 def _overlaps(threshold: float, shards: int):
-    """In a fragment: the overlap there of every pair whose sizes allow a match, sent to the pair's shard. Documents of equal n-grams count as one."""
+    """In a fragment: the overlap there of every pair whose sizes allow a match, but for pairs of heavy documents, sent to the pair's shard. Documents of equal n-grams count as one."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in b.to_pylist()]
@@ -279,6 +295,7 @@ def _overlaps(threshold: float, shards: int):
         start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.empty(0, np.int64)
         width = np.diff(np.append(start, len(gram)))
         least = threshold - 1e-9
+        heavy = _heavy(n_hot, size, threshold)
         held, held_n = [], 0
 
         def sent() -> pa.RecordBatch:
@@ -322,7 +339,7 @@ def _overlaps(threshold: float, shards: int):
 
         sources.append(by_lists())
         for x, y, n in (p for source in sources for p in source):
-            ok = np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])
+            ok = (np.minimum(size[x], size[y]) >= least * np.maximum(size[x], size[y])) & ~(heavy[x] & heavy[y])
             if ok.any():
                 held.append((x[ok] * len(uid) + y[ok], n[ok]))
                 held_n += len(held[-1][0])
@@ -363,9 +380,7 @@ def _summed(threshold: float):
         first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
         n = np.add.reduceat(n[order], first)
         a, b, size_a, size_b, hot_a, hot_b = a[first], b[first], *(v[order[first]] for v in (size_a, size_b, hot_a, hot_b))
-        # where both consist of hot n-grams for the most part those are counted already
-        done = (hot_a >= threshold * size_a - 1e-6) & (hot_b >= threshold * size_b - 1e-6)
-        more = np.where(done, 0, np.minimum(hot_a, hot_b))
+        more = np.minimum(hot_a, hot_b)
         most = np.minimum(n + more, np.minimum(size_a, size_b))
         ok = most / (size_a + size_b - most) >= threshold
         return pa.table({c: v[ok] for c, v in zip(("a", "b", "n", "size_a", "size_b", "more"), (a, b, n, size_a, size_b, more))})
@@ -386,8 +401,153 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(entries, pairs): each doc_id with each set of n-grams that it has, as (doc_id, sig, rep, n_ids), rep the smallest doc_id of the set and n_ids their number; and the pairs of similar sets, as (sig_a, sig_b, rep_a, rep_b, n_a, n_b, jaccard)."""
+def _prefixes(threshold: float):
+    """(sig, size, prefix, grams) of heavy documents. Of all their n-grams in one order, rare ones first, two similar documents share one among the first size - ceil(threshold * size) + 1 of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                sig, size = unpack(r["sigs"], 8).view(np.int64), unpack(r["sizes"], 4).astype(np.int64)
+                docs, grams, ranks = unpack(r["docs"], 3).astype(np.int64), unpack(r["grams"], 6).astype(np.int64), unpack(r["ranks"], 1)
+                order = np.lexsort((grams, ranks, docs))
+                docs, grams = docs[order], grams[order]
+                at = np.searchsorted(docs, np.arange(len(sig) + 1))
+                # those of no other document come first, and aren't here
+                first = np.diff(at) - np.ceil(threshold * size - 1e-6).astype(np.int64) + 1
+                prefix = [grams[a : a + k] for a, k in zip(at, first)]
+                held = [pack(grams[a:b].astype(np.uint64), 6) for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(size), pa.array(prefix, pa.list_(pa.int64())), pa.array(held, pa.binary())], ["sig", "size", "prefix", "grams"])
+
+    return run
+
+
+def _common(row_a: np.ndarray, gram_a: np.ndarray, n_a: int, row_b: np.ndarray, gram_b: np.ndarray, n_b: int) -> np.ndarray:
+    """How many n-grams each of n_a documents has in common with each of n_b."""
+    _, col = np.unique(np.concatenate([gram_a, gram_b]), return_inverse=True)
+    col_a, col_b = col[: len(gram_a)], col[len(gram_a) :]
+    count_a, count_b = np.bincount(col_a, minlength=col.max() + 1), np.bincount(col_b, minlength=col.max() + 1)
+    # a step of a product takes a small part of the time of a pair
+    dense = count_a * count_b * 256 >= n_a * n_b
+    out = np.zeros((n_a, n_b), np.float32)
+    nth, step = np.cumsum(dense) - 1, max(1, (1 << 22) // max(n_a, n_b))
+    for at in range(0, int(dense.sum()), step):
+        part = dense & (nth >= at) & (nth < at + step)
+        m = []
+        for row, c, n in ((row_a, col_a, n_a), (row_b, col_b, n_b)):
+            mine = part[c]
+            m.append(np.zeros((n, min(step, int(dense.sum()) - at)), np.float32))
+            m[-1][row[mine], nth[c[mine]] - at] = 1
+        out += m[0] @ m[1].T
+    mine = ~dense[col_a] & (count_b[col_a] > 0)
+    row_a, col_a = row_a[mine], col_a[mine]
+    row_b = row_b[np.argsort(col_b, kind="stable")]
+    begin, width, flat = (np.cumsum(count_b) - count_b)[col_a], count_b[col_a], out.reshape(-1)
+    upto = np.cumsum(width)
+    low = 0
+    while low < len(width):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS_AT_ONCE, side="right")))
+        w = width[low:high]
+        inner = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        np.add.at(flat, np.repeat(row_a[low:high] * n_b, w) + row_b[np.repeat(begin[low:high], w) + inner], np.float32(1))
+        low = high
+    return out
+
+
+_CELL = "sig long, rep long, sig_b long, rep_b long, n long, n_b long, jaccard double"
+
+
+def _cells(threshold: float, listed: bool):
+    """In two blocks of a group, or in several small groups: for each document with links there their number and the least representative that they lead to (rep_b); or with ``listed`` the similar pairs."""
+
+    def cell(t: dict, a: np.ndarray, b: np.ndarray, same: bool) -> pa.RecordBatch:
+        spread = lambda i: (np.repeat(np.arange(len(i)), [len(t["grams"][k]) for k in i]), np.concatenate([t["grams"][k] for k in i]))
+        both = _common(*spread(a), len(a), *spread(b), len(b))
+        if same:
+            np.fill_diagonal(both, 0)
+        size_a, size_b = t["size"][a], t["size"][b]
+        found = [np.empty((3, 0))]
+        step = max(1, PAIRS_AT_ONCE // len(b))
+        for at in range(0, len(a), step):
+            o = both[at : at + step].astype(np.float64)
+            j = o / (size_a[at : at + step, None] + size_b[None, :] - o)
+            x, y = np.nonzero((j >= threshold) & (o > 0))
+            found.append(np.stack([x + at, y, j[x, y]]))
+        x, y, j = np.concatenate(found, axis=1)
+        x, y = x.astype(np.int64), y.astype(np.int64)
+        if listed:
+            once = x < y if same else slice(None)
+            i, k = a[x[once]], b[y[once]]
+            return rows(t["sig"][i], t["rep"][i], t["sig"][k], t["rep"][k], t["n_ids"][i], t["n_ids"][k], j[once])
+        nodes = a if same else np.concatenate([a, b])
+        nodes = nodes[np.argsort(t["rep"][nodes], kind="stable")]
+        place = np.zeros(len(t["sig"]), np.int64)
+        place[nodes] = np.arange(len(nodes))
+        links = np.bincount(place[a[x]], t["n_ids"][b[y]], minlength=len(nodes))
+        if not same:
+            links += np.bincount(place[b[y]], t["n_ids"][a[x]], minlength=len(nodes))
+        some = nodes[links > 0]
+        label = np.arange(len(nodes))
+        if len(x):
+            first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+            length = np.diff(np.append(first, len(x)))
+            u, v = place[a[x[first]]], place[b[y]]
+            while True:
+                new = label.copy()
+                least = np.minimum(np.minimum.reduceat(label[v], first), label[u])
+                np.minimum.at(new, u, least)
+                np.minimum.at(new, v, np.repeat(least, length))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+        return rows(t["sig"][some], t["rep"][some], None, t["rep"][nodes[label[place[some]]]], links[links > 0].astype(np.int64), None, None)
+
+    def rows(*cols) -> pa.RecordBatch:
+        n = len(cols[0])
+        types = [pa.int64()] * 6 + [pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, x) if c is None else pa.array(c, x) for c, x in zip(cols, types)], [x.split()[0] for x in _CELL.split(", ")])
+
+    def run(table: pa.Table) -> pa.Table:
+        release()
+        t = {c: table.column(c).to_numpy() for c in ("sig", "rep", "n_ids", "size", "comp", "block")}
+        t["grams"] = [unpack(x, 6).astype(np.int64) for x in table.column("grams").to_pylist()]
+        i, k = table.column("i")[0].as_py(), table.column("k")[0].as_py()
+        out = []
+        if i != k:
+            a, b = np.flatnonzero(t["block"] == i), np.flatnonzero(t["block"] == k)
+            # blocks of few long documents may be empty
+            out.append(cell(t, a, b, False) if len(a) and len(b) else rows(*[[]] * 7))
+        else:
+            order = np.argsort(t["comp"], kind="stable")
+            for a in np.split(order, np.flatnonzero(np.diff(t["comp"][order])) + 1):
+                out.append(cell(t, a, a, True))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
+def _among_heavy(left: DataFrame, sets: DataFrame, threshold: float, listed: bool, block_rows: int, block_grams: int) -> DataFrame:
+    """The rows of ``_cells`` for all heavy documents, sets of equal n-grams as one."""
+    heavy = left.where("bucket = -2").select("sigs", "sizes", "docs", "grams", "ranks").mapInArrow(_prefixes(threshold), "sig long, size long, prefix array<long>, grams binary")
+    heavy = cut(heavy.dropDuplicates(["sig"]).join(sets.select("sig", "rep", "n_ids"), "sig"))
+    shared = heavy.select("sig", F.explode("prefix").alias("gram"))
+    least = shared.groupBy("gram").agg(F.min("sig").alias("doc_a"), F.count("sig").alias("n")).where("n > 1")
+    comps = groups(shared.join(least, "gram").where("sig != doc_a").select("doc_a", F.col("sig").alias("doc_b")).distinct())
+    near = cut(heavy.drop("prefix").join(comps.select(F.col("doc_id").alias("sig"), F.col("first").alias("comp")), "sig"))
+    grams = F.sum(F.length("grams") / 6)
+    sizes = cut(near.groupBy("comp").agg(F.greatest(F.ceil(grams / block_grams), F.ceil(F.count("sig") / block_rows)).alias("blocks"), grams.alias("grams")))
+    total = sizes.agg(F.sum(F.expr("if(blocks = 1, grams, 0)")).alias("small"), F.sum(F.expr("if(blocks > 1, blocks * (blocks + 1) / 2, 0)")).alias("cells")).first()
+    shares = int((total["small"] or 0) // block_grams) + 1
+    placed = near.join(sizes.select("comp", "blocks"), "comp").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    home = F.when(F.col("blocks") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(shares)))
+    placed = placed.select((F.col("blocks") > 1).alias("large"), home.alias("home"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "block", "comp", "sig", "rep", "n_ids", "size", "grams")
+    keys = ["large", "home", "i", "k"]
+    return placed.repartition(min(10_000, shares + int(total["cells"] or 0)), *keys).groupBy(*keys).applyInArrow(_cells(threshold, listed), _CELL)
+
+
+def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: int, listed_pairs: bool, block_rows: int, block_grams: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entries, pairs, heavy): each doc_id with each set of n-grams that it has, as (doc_id, sig, rep, n_ids), rep the smallest doc_id of the set and n_ids their number; and the pairs of similar sets, as (sig_a, sig_b, rep_a, rep_b, n_a, n_b, jaccard), but for those of two heavy sets, which are in the rows of ``_cells``."""
     spark = docs.sparkSession
     with steady_splits(spark):
         base = steady(docs.select("doc_id", F.col("text").cast("string").alias("text")))
@@ -399,7 +559,7 @@ def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: i
     parts = left.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps(threshold, 1 << bits), "shard int, " + ", ".join(f"{name} binary" for _, name in _PLANES))
     pairs = cut(parts.groupBy("shard").applyInArrow(_summed(threshold), _PAIRS))
     enough = lambda o: o / (F.col("size_a") + F.col("size_b") - o) >= threshold
-    listed = left.where("bucket < 0").select("ids", "uids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, uid long, sig long, hot array<long>")
+    listed = left.where("bucket = -1").select("ids", "uids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, uid long, sig long, hot array<long>")
     open_pairs = pairs.where("more > 0").drop("more")
     # copies are in all fragments together, so the pairs name a set by the least number of its documents
     grams = listed.groupBy("uid").agg(F.first("hot").alias("hot"))
@@ -412,10 +572,11 @@ def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: i
     of = maybe_broadcast(sets, sets.count())
     side = lambda x: of.select(F.col("uid").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("rep").alias(f"rep_{x}"), F.col("n_ids").alias(f"n_{x}"))
     pair = cut(final.join(side("a"), "a").join(side("b"), "b").select("sig_a", "sig_b", "rep_a", "rep_b", "n_a", "n_b", "jaccard"))
-    return once.where("doc_id is not null").select("doc_id", "sig").join(of.select("sig", "rep", "n_ids"), "sig").select("doc_id", "sig", "rep", "n_ids"), pair
+    heavy = cut(_among_heavy(left, of, threshold, listed_pairs, block_rows, block_grams))
+    return once.where("doc_id is not null").select("doc_id", "sig").join(of.select("sig", "rep", "n_ids"), "sig").select("doc_id", "sig", "rep", "n_ids"), pair, heavy
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: the pairs of documents whose sets of word n-grams overlap by ``threshold`` or more, copies as a class.
 
     Documents with equal sets are a class, whose representative is the smallest doc_id. Listed are all similar pairs
@@ -426,7 +587,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int =
     a doc_id aren't paired with each other, and a row repeated as a whole changes nothing. Texts of any length count
     whole; an empty table gives none; other columns are not read.
     """
-    entries, pairs = _similar(docs, n, threshold, hot, piece_bytes)
+    entries, pairs, heavy = _similar(docs, n, threshold, hot, piece_bytes, True, block_rows, block_grams)
+    pairs = pairs.select("rep_a", "rep_b", "jaccard").unionByName(heavy.select(F.col("rep").alias("rep_a"), "rep_b", "jaccard"))
     own = entries.select("doc_id", "rep", F.lit(1.0).alias("jaccard"))
     found = pairs.select(F.col("rep_a").alias("doc_id"), F.col("rep_b").alias("rep"), "jaccard").unionByName(own).where("doc_id != rep")
     found = found.select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), "jaccard")
@@ -434,19 +596,21 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int =
     return found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
-def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def similar_documents(docs: DataFrame, n: int = 5, threshold: float = 0.5, hot: int = HOT, piece_bytes: int = PIECE_BYTES, block_rows: int = BLOCK_ROWS, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """(doc_id, class_id, n_links): one row for each doc_id that isn't null.
 
     A link is a pair of documents whose sets of word n-grams overlap by ``threshold`` or more. class_id is the smallest
     doc_id that links lead to, the document's own if it has none. n_links counts the document's links, copies one by
-    one although no pairs of copies are listed anywhere: each similar set counts with the number of its documents. A
+    one although no pairs of copies are listed anywhere: each similar set counts with the number of its documents. Nor are
+    pairs of heavy documents listed, so a large group of different near copies sends rows in proportion to its size times its blocks. A
     doc_id with several texts has the links of all of them, those between them too. See ``jaccard_join`` for the rest.
     """
-    entries, pairs = _similar(docs, n, threshold, hot, piece_bytes)
-    gained = pairs.select(F.col("sig_a").alias("sig"), F.col("n_b").alias("n")).unionByName(pairs.select(F.col("sig_b").alias("sig"), F.col("n_a").alias("n")))
+    entries, pairs, heavy = _similar(docs, n, threshold, hot, piece_bytes, False, block_rows, block_grams)
+    gained = pairs.select(F.col("sig_a").alias("sig"), F.col("n_b").alias("n")).unionByName(pairs.select(F.col("sig_b").alias("sig"), F.col("n_a").alias("n"))).unionByName(heavy.select("sig", "n"))
     gained = gained.groupBy("sig").agg(F.sum("n").alias("n"))
     links = entries.join(gained, "sig", "left").select("doc_id", (F.col("n_ids") - 1 + F.coalesce("n", F.lit(0))).alias("n"), F.lit(None).cast("long").alias("first"))
-    edges = pairs.select(F.col("rep_a").alias("doc_a"), F.col("rep_b").alias("doc_b")).unionByName(entries.where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
+    edges = pairs.select(F.col("rep_a").alias("doc_a"), F.col("rep_b").alias("doc_b")).unionByName(heavy.select(F.col("rep_b").alias("doc_a"), F.col("rep").alias("doc_b")))
+    edges = edges.unionByName(entries.where("doc_id != rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b")))
     classes = groups(edges).select("doc_id", F.lit(0).cast("long").alias("n"), "first")
     every = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("first"))
     rows = every.unionByName(links).unionByName(classes).groupBy("doc_id").agg(F.sum("n").alias("n_links"), F.min("first").alias("first"))
