@@ -63,8 +63,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A bucket, batch and slot for each document; see ``pack`` for nulls, ties, repeated rows and empty tables. Other columns are not read."""
-    return pack(docs)
+    """A bucket, batch and slot for each document, the batches of a bucket filled shard by shard as ``mixture`` dealt them.
+
+    See ``pack`` for nulls, ties, repeated rows and empty tables; without a column ``shard`` the ids alone give the order. Other columns are not read.
+    """
+    return pack(docs, shard="shard" if "shard" in docs.columns else None)
 
 
 STAGES = [

@@ -199,6 +199,26 @@ def test_mixture_keeps_every_source(spark):
     assert found.columns[5:] == ["shard"] and found.where("shard is null").count() == 0
 
 
+def test_batches_follow_the_mixture(spark):
+    """With batches of few documents, those of a bucket hold the shards one after the other, as plain Python fills them."""
+    r = random.Random(9)
+    rows = [(i, prose(r, r.choice((9_000, 12_000))), "en", "hot" if i % 3 else f"s{i % 2}", None) for i in range(60)]
+    mixed = corpus_pipeline.mixture(spark, spark.createDataFrame([*rows, (None, rows[4][1], "en", "s0", None)], SCHEMA), "").cache()
+    shards = {x["doc_id"]: x["shard"] for x in mixed.collect()}
+    found = corpus_pipeline.packing(spark, mixed, "").collect()
+    assert len(found) == 61 and len(set(shards.values())) > 10
+    place, by = lambda i: (-1, -1) if i is None else (i % 64, i), {}
+    for x in found:
+        by.setdefault((x["bucket"], 65_536 // x["bucket_tokens"]), []).append(x)
+    for (_, room), mine in by.items():
+        assert len({x["batch"] for x in mine}) == -(-len(mine) // room) > 1
+        order = sorted((x["doc_id"] for x in mine), key=lambda i: (shards[i], place(i)))
+        want = {(i, at // room, s) for at in range(0, len(order), room) for s, i in enumerate(sorted(order[at : at + room], key=place))}
+        assert {(x["doc_id"], x["batch"], x["slot"]) for x in mine} == want
+    # and other shards make other batches
+    assert {tuple(x) for x in found} != {tuple(x) for x in corpus_pipeline.packing(spark, mixed.withColumn("shard", 15 - mixed["shard"]), "").collect()}
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vistaframe.llm.shared import cut, running_start
@@ -57,7 +57,7 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = 12, budget: int = 65_536) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 12, budget: int = 65_536, shard: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, bucket, bucket_tokens, batch, slot) for every row of docs.
 
     The histogram of all lengths decides the bounds (its size is the number of different lengths). A batch
@@ -65,20 +65,29 @@ def pack(docs: DataFrame, buckets: int = 12, budget: int = 65_536) -> DataFrame:
     least. Documents fill batches in the order (doc_id mod 64, doc_id, n_tokens), null doc_ids first; equal
     rows take adjoining slots. Null and empty texts have the one ending token; a text longer than the budget
     has a batch of its own. An empty table gives none, and other columns are not read.
+
+    With ``shard``, the name of a column of whole numbers, the batches of a bucket are filled shard by shard (nulls first),
+    within one in the order above, so that batches in the order of their numbers hold the shards in theirs; the documents of a
+    batch take its slots in the order above.
     """
     spark = docs.sparkSession
-    sizes = cut(docs.select("doc_id", tokens().alias("n_tokens")))
+    sizes = cut(docs.select("doc_id", tokens().alias("n_tokens"), (F.col(shard).cast("long") if shard else F.lit(0).cast("long")).alias("shard")))
     found = sorted((r["n_tokens"], r["count"]) for r in sizes.groupBy("n_tokens").count().collect())
     bounds = optimal_buckets(np.array([x for x, _ in found]), np.array([c for _, c in found]), buckets)
     if not bounds:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, bucket_tokens long, batch long, slot long")
     limits = F.array(*[F.lit(b).cast("long") for b in bounds])
     bucket = F.size(F.filter(limits, lambda b: b < F.col("n_tokens")))
-    placed = sizes.select("doc_id", "n_tokens", bucket.alias("bucket"), F.coalesce(F.pmod("doc_id", F.lit(SLICES)), F.lit(-1)).cast("int").alias("slice"), F.lit(1).cast("long").alias("one"))
-    numbered = running_start(placed, ["bucket"], "slice", ["doc_id", "n_tokens"], "one", "nth")
+    placed = sizes.select("doc_id", "n_tokens", "shard", bucket.alias("bucket"), F.coalesce(F.pmod("doc_id", F.lit(SLICES)), F.lit(-1)).cast("int").alias("slice"), F.lit(1).cast("long").alias("one"))
+    placed = placed.withColumn("part", F.struct("shard", "slice")) if shard else placed.withColumnRenamed("slice", "part")
+    numbered = running_start(placed, ["bucket"], "part", ["doc_id", "n_tokens"], "one", "nth")
     bound = F.element_at(limits, F.col("bucket") + 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / bound)).cast("long")
-    return numbered.select("doc_id", "n_tokens", "bucket", bound.alias("bucket_tokens"), F.floor(F.col("nth") / room).cast("long").alias("batch"), (F.col("nth") % room).alias("slot"))
+    filled = numbered.select("*", bound.alias("bucket_tokens"), F.floor(F.col("nth") / room).cast("long").alias("batch"), (F.col("nth") % room).alias("slot"))
+    if shard:
+        within = Window.partitionBy("bucket", "batch").orderBy("slice", "doc_id", "n_tokens")
+        filled = filled.withColumn("slot", F.row_number().over(within).cast("long") - 1)
+    return filled.select("doc_id", "n_tokens", "bucket", "bucket_tokens", "batch", "slot")
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
