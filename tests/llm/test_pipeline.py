@@ -6,9 +6,10 @@ import re
 import pytest
 
 import corpus_pipeline
-from tests.llm.test_jaccard import brute_classes
+from tests.llm.test_jaccard import brute_classes, near_copies
 from tests.llm.test_layout import dealt_one_by_one
 from tests.llm.test_perplexity import brute_force as perplexities
+from vistaframe.llm import jaccard
 from vistaframe.llm.text import Words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -199,6 +200,21 @@ def test_mixture_keeps_every_source(spark):
     assert found.columns[5:] == ["shard"] and found.where("shard is null").count() == 0
 
 
+def test_large_group_of_near_duplicates(spark, monkeypatch):
+    """Two groups larger than the limit for pairs leave their first documents, and no intermediate table has a row for each pair."""
+    rows, seen, plain = [(i, text, "en", source, None) for i, text, source in near_copies(3, (300, 120))], [], jaccard.cut
+
+    def watched(df):
+        out = plain(df)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(x["doc_id"] for x in found) == [0, 300]
+    assert max(seen) <= 10 * len(rows)
+
+
 def test_batches_follow_the_mixture(spark):
     """With batches of few documents, those of a bucket hold the shards one after the other, as plain Python fills them."""
     r = random.Random(9)
