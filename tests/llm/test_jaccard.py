@@ -116,6 +116,25 @@ def test_large_group_is_not_listed_by_pairs(spark, monkeypatch):
     assert max(seen) <= 10 * len(rows) < sum(n for _, n in got.values()) // 4
 
 
+def test_fragments_list_only_their_documents(spark, monkeypatch):
+    """With more fragments than a document has n-grams, as for large inputs: right classes, and no document is sent to a fragment where it has none."""
+    rows, seen, plain = near_copies(9, (3,) * 30), [], jaccard.cut
+
+    def watched(df):
+        out = plain(df)
+        if "uids" in out.columns:
+            seen.extend(out.where("bucket >= 0").select("uids", "docs").collect())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", watched)
+    monkeypatch.setattr(jaccard, "bucket_bits", lambda df: 8)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in similar_documents(spark.createDataFrame(rows, SCHEMA), piece_bytes=3000).collect()}
+    assert got == brute_classes(rows, 5, 0.5) and any(n for _, n in got.values())
+    for r in seen:
+        listed, used = jaccard.unpack(r["uids"], 8), jaccard.unpack(r["docs"], 3)
+        assert len(set(listed)) == len(listed) and set(used) == set(range(len(listed)))
+
+
 @pytest.mark.parametrize(("rows_at_once", "grams_at_once"), [(16, 1 << 20), (1000, 150)])
 def test_blocks(spark, rows_at_once, grams_at_once):
     """Groups cut into many blocks, some of them empty, against brute force, as counts and as pairs."""

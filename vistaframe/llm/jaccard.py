@@ -171,20 +171,24 @@ def _survivors(threshold: float, coarser: int):
         out = []
         if len(kept):
             whole = [(head["piece"] << 24 | kept).astype(np.uint64), unpack(head["b"], 8)[kept], size[kept].astype(np.uint64), n_hot[kept].astype(np.uint64)]
-            whole = [pack(x, w) for x, w in zip(whole, (8, 8, 4, 4))]
+            of = lambda some: [pack(x[some], w) for x, w in zip(whole, (8, 8, 4, 4))]
             parts: dict[int, list] = {}
             hot_docs, hot_grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
             for r, d, g, x in zip(rows, docs, grams, hot):
                 ok = live[d]
                 mine = ok & ~x
                 if mine.any():
-                    parts.setdefault(r["bucket"] >> coarser, []).append((place[d[mine]].astype(np.uint64), g[mine]))
+                    parts.setdefault(r["bucket"] >> coarser, []).append((place[d[mine]], g[mine]))
                 hot_docs.append(place[d[ok & x]])
                 hot_grams.append(g[ok & x])
             for b, found in parts.items():
                 d, g = (np.concatenate(c) for c in zip(*found))
-                out.append((b, None, *whole, pack(d, 3), pack(np.diff(g, prepend=np.uint64(0)), 6), None))
-            out.append((-1, [head["ids"][i] for i in kept], *whole, pack(np.concatenate(hot_docs).astype(np.uint64), 3), pack(np.concatenate(hot_grams), 6), None))
+                # only documents with an n-gram there: all of them in each fragment would grow with the square of the input
+                here = np.zeros(len(kept), bool)
+                here[d] = True
+                nth = np.cumsum(here) - 1
+                out.append((b, None, *of(here), pack(nth[d], 3), pack(np.diff(g, prepend=np.uint64(0)), 6), None))
+            out.append((-1, [head["ids"][i] for i in kept], *of(slice(None)), pack(np.concatenate(hot_docs).astype(np.uint64), 3), pack(np.concatenate(hot_grams), 6), None))
             heavy = live & _heavy(n_hot, size, threshold)
             if heavy.any():
                 nth = np.cumsum(heavy) - 1
@@ -302,14 +306,17 @@ def _overlaps(threshold: float, shards: int):
             key, back = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             n = np.bincount(back, np.concatenate([c for _, c in held])).astype(np.int64)
             x, y = np.divmod(key, len(uid))
-            out = []
-            for s in np.unique(shard[x]):
-                mine = shard[x] == s
-                i, j = x[mine], y[mine]
-                near = np.append(True, i[1:] != i[:-1])
-                other = np.where(near, uid[j], np.diff(uid[j], prepend=0))
-                planes = (np.diff(uid[i], prepend=0), other, n[mine], size[i], size[j], n_hot[i], n_hot[j])
-                out.append((int(s), *(pack(v.astype(np.uint64), w) for v, (w, _) in zip(planes, _PLANES))))
+            # sorted once, as there are the more shards the larger the input is
+            order = np.argsort(shard[x], kind="stable")
+            x, y, n = x[order], y[order], n[order]
+            to = shard[x]
+            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            near = np.append(True, x[1:] != x[:-1])
+            one = np.diff(uid[x], prepend=0)
+            one[first] = uid[x[first]]
+            other = np.where(near, uid[y], np.diff(uid[y], prepend=0))
+            planes = [v.astype(np.uint64) for v in (one, other, n, size[x], size[y], n_hot[x], n_hot[y])]
+            out = [(int(to[a]), *(pack(v[a:b], w) for v, (w, _) in zip(planes, _PLANES))) for a, b in zip(first, np.append(first[1:], len(to)))]
             types = (pa.int32(), *[pa.binary()] * len(_PLANES))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["shard", *(name for _, name in _PLANES)])
 
@@ -556,7 +563,7 @@ def _similar(docs: DataFrame, n: int, threshold: float, hot: int, piece_bytes: i
         counted = pieces.groupBy("bucket").applyInArrow(_fragment_counts(hot), _SENT)
         # what is left is so much less that fewer fragments do, and a pair's overlap comes in fewer parts
         left = cut(counted.groupBy("piece").applyInArrow(_survivors(threshold, 2), _LEFT))
-    parts = left.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps(threshold, 1 << bits), "shard int, " + ", ".join(f"{name} binary" for _, name in _PLANES))
+    parts = left.where("bucket >= 0").groupBy("bucket").applyInArrow(_overlaps(threshold, 1 << bits >> 2), "shard int, " + ", ".join(f"{name} binary" for _, name in _PLANES))
     pairs = cut(parts.groupBy("shard").applyInArrow(_summed(threshold), _PAIRS))
     enough = lambda o: o / (F.col("size_a") + F.col("size_b") - o) >= threshold
     listed = left.where("bucket = -1").select("ids", "uids", "sigs", "docs", "grams").mapInArrow(_listed, "doc_id long, uid long, sig long, hot array<long>")
