@@ -43,3 +43,19 @@ def test_odd_rows(spark, part):
     rows = [(100 * k, "x", name) for k, name in enumerate(NAMES + NAMES[::-1])]
     folder = part([*rows, (100, "x", "red rod"), (300, "x", ""), (None, "x", "red"), (7, None, "red"), (8, None, "red")])
     assert plain(QUERIES["word_similarity"](spark, folder).collect()) == by_sql(folder)
+
+
+def test_pairs_of_one_brand_in_several_tasks(spark, part, monkeypatch):
+    monkeypatch.setattr("vistaframe.queries._BLOCK", 10, raising=False)
+    folder = part([(3 * k, "x", NAMES[k % len(NAMES)]) for k in range(64)])
+    got = QUERIES["word_similarity"](spark, folder)
+    by_task = [n for n in got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert sum(by_task) == 64 * 63 // 2 and max(by_task) < sum(by_task) / 4
+    assert plain(got.collect()) == by_sql(folder)
+
+
+def test_lists_of_one_name_are_cut(spark, part, monkeypatch):
+    monkeypatch.setattr("vistaframe.queries._LIST", 3, raising=False)
+    monkeypatch.setattr("vistaframe.queries._BLOCK", 40, raising=False)
+    folder = part([(k, "x", NAMES[k % 7 % 3]) for k in range(90)] + [(4, "x", NAMES[0]), (4, "x", NAMES[2])])
+    assert plain(QUERIES["word_similarity"](spark, folder).collect()) == by_sql(folder)
